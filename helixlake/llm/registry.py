@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate
+from . import chat, decontaminate, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat.op2,
+    "op4_shard": sharding.op4,
     "op9_decontaminate": decontaminate.op9,
+    "op10_mix": mixing.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
