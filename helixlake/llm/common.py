@@ -182,3 +182,16 @@ def small(df: DataFrame, limit: int, what: str) -> list:
 def words_of(text: str | F.Column) -> F.Column:
     """Native: the array of words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), WS + "+"), lambda w: w != "")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column | None, limit: int) -> DataFrame:
+    """doc_id, text, label of at most `limit` labelled rows, the first by a hash of doc_id; the bound makes the broadcast safe."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(train) if train is not None else rows
+    chosen = rows.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def fold(modulus: int) -> F.Column:
+    """crc32 of doc_id as text, mod `modulus`; a null id is like an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
