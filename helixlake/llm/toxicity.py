@@ -15,6 +15,7 @@ score 0; an empty table gives no rows. Texts of any length are read whole. Other
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from .common import fold, labelled_sample, slices, table, written
 SAMPLE = 20_000
 TERMS = 2000
 THRESHOLD = 0.3
-#: Least likelihood ratio (G) of a term; 30 is reached by chance about once in 20 million terms.
-LEAST_G = 30.0
+#: Least likelihood ratio (G) of a term; 20 is reached by chance about once in 100,000 terms.
+LEAST_G = 20.0
 PREFIX = range(4, 9)
 CONTEXT = 4
 #: States that a worker keeps before it starts anew.
@@ -65,7 +66,7 @@ class Lexicon:
 
     def __init__(self, terms: list[str]):
         self.terms = sorted(set(terms))
-        self.nodes: list[tuple[dict[str, int], int, int]] = [({}, -1, 0)]  # children, term, depth
+        self.nodes: list[list] = [[{}, -1, -1, 0]]  # children, whole term, beginning, depth
         self.most: list[int] = [0]
         for k, term in enumerate(self.terms):
             at = 0
@@ -73,10 +74,10 @@ class Lexicon:
                 kids = self.nodes[at][0]
                 if c not in kids:
                     kids[c] = len(self.nodes)
-                    self.nodes.append(({}, -1, self.nodes[at][2] + 1))
+                    self.nodes.append([{}, -1, -1, self.nodes[at][3] + 1])
                     self.most.append(0)
                 at = kids[c]
-            self.nodes[at] = (self.nodes[at][0], k, self.nodes[at][2])
+            self.nodes[at][2 if term.endswith("*") else 1] = k
         self.reach(0)
         self.reset()
 
@@ -87,15 +88,16 @@ class Lexicon:
             order.extend(self.nodes[order[at]][0].values())
             at += 1
         for n in reversed(order):
-            kids, term, depth = self.nodes[n]
-            self.most[n] = max([edits(depth) if term >= 0 and not self.terms[term].endswith("*") else 0, *(self.most[k] for k in kids.values())])
+            kids, term, _, depth = self.nodes[n]
+            self.most[n] = max([edits(depth) if term >= 0 else 0, *(self.most[k] for k in kids.values())])
 
     def reset(self) -> None:
         start = self.closed({0: 0})
         self.states: dict[frozenset, int] = {start: 0}
         self.sets: list[frozenset] = [start]
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, int] | None] = [self.accepts(start)]
+        self.ends: list[tuple[int, int] | None] = [None]
+        self.begun: list[tuple[int, int] | None] = [None]
 
     def closed(self, reached: dict[int, int]) -> frozenset:
         """Adds what leaving out letters of a term reaches."""
@@ -110,11 +112,12 @@ class Lexicon:
                     todo.append((kid, d + 1))
         return frozenset(reached.items())
 
-    def accepts(self, state: frozenset) -> tuple[int, int] | None:
+    def accepts(self, state: frozenset, begun: bool = False) -> tuple[int, int] | None:
+        """The nearest whole term that the state completes, or the beginning that it has just completed."""
         best = None
         for node, d in state:
-            term = self.nodes[node][1]
-            if term >= 0 and d <= (0 if self.terms[term].endswith("*") else edits(self.nodes[node][2])) and (best is None or (d, term) < best):
+            term = self.nodes[node][2 if begun else 1]
+            if term >= 0 and d <= (0 if begun else edits(self.nodes[node][3])) and (best is None or (d, term) < best):
                 best = (d, term)
         return best
 
@@ -139,25 +142,24 @@ class Lexicon:
             self.sets.append(state)
             self.next.append({})
             self.ends.append(self.accepts(state))
+            self.begun.append(self.accepts(state, begun=True))
         return self.states[state]
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """(distance, term) of the nearest term, None without one. A term with * ends the walk where it is complete."""
-        at = 0
+        """(distance, term) of the best term: the whole word, else the longest beginning, else the nearest; None without one."""
+        at, stem = 0, None
         for c in word:
             to = self.next[at].get(c)
             if to is None:
                 to = self.next[at][c] = self.step(at, c)
             at = to
-            end = self.ends[at]
-            if end is not None and self.terms[end[1]].endswith("*"):
-                return end
+            stem = self.begun[at] if self.begun[at] is not None else stem
             if not self.sets[at]:
-                return None
+                break
         end = self.ends[at]
         if len(self.sets) > STATES:
             self.reset()
-        return end
+        return end if end is not None and (end[0] == 0 or stem is None) else stem
 
 
 def candidates(word: str) -> list[str]:
@@ -177,27 +179,24 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"term": part, "bad": pa.array([n[1][t] for t in part], pa.int64()), "good": pa.array([n[0][t] for t in part], pa.int64())})
 
 
-def lexicon(sample: DataFrame) -> list[str]:
-    """Terms with a likelihood ratio of LEAST_G or more that are right in nine of ten rows; of nested beginnings that mark
-    the same rows, the longest."""
-    size = {r.label == 1: r.n for r in sample.groupBy((F.col("label") == 1).alias("l")).agg(F.count("*").alias("n")).select(F.col("l").cast("int").alias("label"), "n").collect()}
+def lexicon(sample: DataFrame) -> list[tuple[str, float]]:
+    """Terms and their log-odds: likelihood ratio of LEAST_G or more, most rows toxic; of nested terms that mark the same
+    rows, the longest."""
+    size = {r.label: r.n for r in sample.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return []
-    rate = size[True] / (size[True] + size[False])
+    rate = size[1] / (size[0] + size[1])
     total = F.col("bad") + F.col("good")
     share = F.col("bad") / total
     g = 2 * (F.col("bad") * F.log(share / rate) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     counts = sample.mapInArrow(_term_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = counts.where((F.col("bad") > 4) & (share >= 0.9)).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(TERMS).collect()
-    out: list[str] = []
-    for r in sorted(rows, key=lambda r: (-len(r.term), r.term)):
+    rows = counts.where((F.col("bad") > 3) & (share >= 0.5)).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(TERMS).collect()
+    out = []
+    for r in sorted(rows, key=lambda r: r.term):
         stem = r.term.removesuffix("*")
-        inside = [o for o in rows if o.term != r.term and o.term.removesuffix("*").startswith(stem)]
-        if not any(o.bad >= 0.95 * r.bad for o in inside):
-            out.append(r.term)
-    # a beginning in the list makes the longer ones with it needless
-    stems = {t[:-1] for t in out if t.endswith("*")}
-    return sorted(t for t in out if not any(t.removesuffix("*")[:n] in stems for n in range(4, len(t.removesuffix("*")))))
+        if not any(o.term != r.term and o.term.removesuffix("*").startswith(stem) and len(o.term.removesuffix("*")) > len(stem) - r.term.endswith("*") and o.bad >= 0.97 * r.bad and o.good >= 0.97 * r.good for o in rows):
+            out.append((r.term, math.log((r.bad + 0.5) / (r.good + 0.5) * size[0] / size[1])))
+    return out
 
 
 def context(words: list[str], k: int) -> tuple[float, bool]:
@@ -213,16 +212,16 @@ def context(words: list[str], k: int) -> tuple[float, bool]:
     return (1.25 if aimed else 1.0) * (0.8 if reported else 1.0), False
 
 
-FEATURES = ("exact", "near", "quoted", "share", "terms")
+FEATURES = ("exact", "near", "quoted", "share", "terms", "evidence", "strongest")
 _LEXICA: dict[tuple[str, ...], Lexicon] = {}
 
 
-def features(column: pa.Array, terms: list[str]) -> np.ndarray:
-    key = tuple(terms)
+def features(column: pa.Array, lexicon: list[tuple[str, float]]) -> np.ndarray:
+    key = tuple(sorted(t for t, _ in lexicon))
     if key not in _LEXICA:
         _LEXICA.clear()
-        _LEXICA[key] = Lexicon(terms)
-    lex = _LEXICA[key]
+        _LEXICA[key] = Lexicon(list(key))
+    lex, odds = _LEXICA[key], [o for _, o in sorted(lexicon)]
     out = np.zeros((len(column), len(FEATURES)))
     lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
     codes = lists.flatten().dictionary_encode()
@@ -236,19 +235,22 @@ def features(column: pa.Array, terms: list[str]) -> np.ndarray:
     for d in np.unique(doc):
         mine = at[doc == d]
         lo, hi = offsets[d], offsets[d + 1]
-        seen = set()
+        seen: dict[int, float] = {}
         for k in mine:
             a, b = max(lo, k - CONTEXT), min(hi, k + CONTEXT + 1)
             words = codes.dictionary.take(codes.indices[a:b]).to_pylist()
             weight, quoted = context(words, int(k - a))
             distance, term = hit[index[k]]
-            seen.add(term)
+            seen[term] = max(seen.get(term, 0.0), odds[term] * weight / (1 + 2 * distance))
             out[d, 0 if distance == 0 else 1] += 0 if quoted else weight
             out[d, 2] += weight if quoted else 0
             out[d, 3] += weight / (1 + distance)
         out[d, 4] = len(seen)
+        out[d, 5], out[d, 6] = sum(seen.values()), max(seen.values())
     out[:, 3] = out[:, 3] / length * 100
-    return np.log1p(out)
+    out[:, :5] = np.log1p(out[:, :5])
+    out[:, 5:] /= 4
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
