@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, ranking, rules, sharding, toxicity
+from . import chat, decontaminate, mixing, ranking, rules, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat.op2,
     "op4_shard": sharding.op4,
+    "op5_token_ids": tokens.op5,
     "op6_quality_rules": rules.op6,
     "op7_toxicity": toxicity.op7,
     "op8_quality_rank": ranking.op8,
