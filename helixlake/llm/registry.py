@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, ranking, rules, sharding, tokens, toxicity
+from . import chat, decontaminate, mixing, ranking, rules, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substrings.op1,
     "op2_chat_format": chat.op2,
     "op4_shard": sharding.op4,
     "op5_token_ids": tokens.op5,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substrings.SQL,
     "op2_chat_format": chat.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
