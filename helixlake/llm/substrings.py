@@ -29,50 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, by_bucket, mix, ragged, segments, slices, table, text_bytes, window_hashes, word_hashes, word_spans, written
+from .chunks import LAST, chunks, pack, packed, unpack
+from .common import buckets, by_bucket, mix, ragged, segments, table, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 13
 ANCHOR = 8
 #: A window without runs has a border at most so far from its start.
 LATEST = 5
 ROUNDS = 2
-#: Bytes of text in a chunk.
-CHUNK = 4 << 20
-_LAST = np.int64(2**63 - 1)
-_HOLD = np.uint64(1) << np.uint64(63)
-
-
-# ---- chunks of documents as blobs
-
-
-def pack(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> bytes:
-    head = np.array([len(ids)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + ids.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + raw.tobytes())
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, offset=16 + 16 * n), np.frombuffer(data, "<i8", n + 1, 8 + 8 * n)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part in slices(batch, limit=CHUNK):
-            raw, offsets = text_bytes(part.column("text"))
-            yield number, part.column("doc_id").fill_null(int(_LAST)).to_numpy(), raw, offsets
-            number += 1
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, ids, raw, offsets in _chunks(batches):
-        yield pa.RecordBatch.from_pydict({"chunk": [number], "blob": pa.array([pack(ids, raw, offsets)], pa.binary())})
 
 
 # ---- recompression
@@ -150,7 +117,7 @@ def send(keys: np.ndarray, docs: np.ndarray, chunk: int, n: int) -> pa.RecordBat
 
 def _anchors(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, raw, offsets in _chunks(batches):
+        for number, _, raw, offsets in chunks(batches):
             w = Words(raw, offsets)
             at, a, odd, b = w.anchors()
             if len(a) + len(b):
@@ -161,7 +128,7 @@ def _anchors(n: int):
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Of one range: for each chunk the prints that another chunk holds too, or that carry the mark anywhere."""
-    chunks = rows["chunk"].to_pylist()
+    numbers = rows["chunk"].to_pylist()
     prints = [np.frombuffer(b.as_py(), np.uint32) for b in rows["prints"]]
     every = np.concatenate(prints)
     owner = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
@@ -175,7 +142,7 @@ def _shared(rows: pa.Table) -> pa.Table:
     order = np.argsort(o, kind="stable")
     o, b = o[order], b[order]
     cut = np.concatenate(([0], np.flatnonzero(np.diff(o)) + 1, [len(o)])) if len(o) else np.zeros(1, np.int64)
-    return pa.table({"chunk": pa.array([chunks[o[a]] for a in cut[:-1]], pa.int64()), "bucket": pa.array(np.full(len(cut) - 1, rows["bucket"][0].as_py()), pa.int32()), "prints": pa.array([b[a:c].tobytes() for a, c in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    return pa.table({"chunk": pa.array([numbers[o[a]] for a in cut[:-1]], pa.int64()), "bucket": pa.array(np.full(len(cut) - 1, rows["bucket"][0].as_py()), pa.int32()), "prints": pa.array([b[a:c].tobytes() for a, c in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def member(keys: np.ndarray, n: int, back: pa.Table) -> np.ndarray:
@@ -232,7 +199,7 @@ def _finish(ids: np.ndarray, w: Words, gone: np.ndarray, which: np.ndarray) -> d
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[lo:hi].astype(np.int8), [0])))) if removed[hi] > removed[lo] else np.empty(0, np.int64)
         spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
     return {
-        "doc_id": pa.array([None if i == _LAST else int(i) for i in ids[which]], pa.int64()),
+        "doc_id": pa.array([None if i == LAST else int(i) for i in ids[which]], pa.int64()),
         "n_words": pa.array(w.first[which + 1] - w.first[which], pa.int64()),
         "n_removed": pa.array(removed[w.first[which + 1]] - removed[w.first[which]], pa.int64()),
         "kept_sha256": pa.array(digests, pa.string()),
@@ -289,7 +256,7 @@ def _verify(n: int):
 
 def _smallest(rows: pa.Table) -> pa.Table:
     """Of one range: for each chunk the names of windows that a smaller document holds, with that document."""
-    chunks = rows["chunk"].to_pylist()
+    numbers = rows["chunk"].to_pylist()
     x, low, high, y, owner = [], [], [], [], []
     for k, b in enumerate(rows["blob"]):
         raw = b.as_py()
@@ -309,7 +276,7 @@ def _smallest(rows: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     x, y, owner, least = x[order], y[order], owner[order], least[order]
     cut = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
-    return pa.table({"chunk": pa.array([chunks[owner[a]] for a in cut[:-1]], pa.int64()), "blob": pa.array([x[a:b].tobytes() + least[a:b].astype("<i8").tobytes() + y[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    return pa.table({"chunk": pa.array([numbers[owner[a]] for a in cut[:-1]], pa.int64()), "blob": pa.array([x[a:b].tobytes() + least[a:b].astype("<i8").tobytes() + y[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -352,8 +319,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = rows.mapInArrow(_anchors(n), "bucket int, chunk long, prints binary")
     back = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, prints binary")
-    packed = rows.mapInArrow(_pack, "chunk long, blob binary")
-    middle = written(packed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_verify(n), f"{_RESULT}, bucket int, chunk long, blob binary"))
+    held = rows.mapInArrow(packed, "chunk long, blob binary")
+    middle = written(held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_verify(n), f"{_RESULT}, bucket int, chunk long, blob binary"))
     result = [f.name for f in middle.schema][:5]
     done = middle.where("bucket is null").select(*result)
     least = middle.where("bucket >= 0").select("bucket", "chunk", "blob").groupBy("bucket").applyInArrow(_smallest, "chunk long, blob binary")
