@@ -26,14 +26,15 @@ SYMBOLS = "#*$%&|<>"
 #: A rule has to be right on this share of the rows it covers.
 PRECISION = 0.95
 
+#: What rules may ask about, as SQL over the statistics.
 FEATURES = {
-    "symbols_per_word": F.try_divide(F.col("n_symbols"), F.col("n_words")),
-    "repeat_share": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
-    "dup_lines": F.col("n_dup_lines"),
-    "upper_share": F.try_divide(F.col("n_upper"), F.col("word_chars")),
-    "shouts_per_word": F.try_divide(F.col("n_shouts"), F.col("n_words")),
-    "digit_share": F.try_divide(F.col("n_digits"), F.col("word_chars")),
-    "echo_share": F.try_divide(F.col("n_echoes"), F.col("n_words")),
+    "symbols_per_word": "try_divide(n_symbols, n_words)",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
+    "dup_lines": "n_dup_lines",
+    "upper_share": "try_divide(n_upper, word_chars)",
+    "shouts_per_word": "try_divide(n_shouts, n_words)",
+    "digit_share": "try_divide(n_digits, word_chars)",
+    "echo_share": "try_divide(n_echoes, n_words)",
 }
 
 
@@ -147,14 +148,14 @@ def expression(rules: list[list[Condition]]) -> Column:
     for rule in reversed(rules):
         hold = F.lit(True)
         for name, op, value in rule:
-            v = F.coalesce(FEATURES[name].cast("double"), F.lit(0.0))
+            v = F.coalesce(F.expr(FEATURES[name]).cast("double"), F.lit(0.0))
             hold = hold & (v >= value if op == ">=" else v <= value)
         out = F.when(hold, F.lit(False)).otherwise(out)
     return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> list[list[Condition]]:
-    rows = statistics(labelled_sample(docs, labels, label, None, sample)).select("doc_id", "label", *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in FEATURES.items())).collect()
+    rows = statistics(labelled_sample(docs, labels, label, None, sample)).select("doc_id", "label", *(F.coalesce(F.expr(v).cast("double"), F.lit(0.0)).alias(k) for k, v in FEATURES.items())).collect()
     if len({r.label for r in rows}) < 2:
         return []
     rows.sort(key=lambda r: (hash((r.doc_id, 7)) & 0xFFFFFFFF, r.doc_id))
