@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .udf import lazy_pandas_udf
+
 DEFAULT_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -141,7 +143,7 @@ def sketch_similarity(a: list[int], b: list[int]) -> float:
     return sum(min(known.get(v, 0), k) for v, k in zip(other.tolist(), n.tolist(), strict=True)) / min(len(a), len(b))
 
 
-@F.pandas_udf("double")
+@lazy_pandas_udf("double")
 def sketch_similarity_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sketch_similarity(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -108,18 +108,15 @@ def is_primary_alignment(flag: Col) -> Column:
 
 
 def kmers(s: Col, k: int) -> Column:
-    """All k-mers in order; an empty array for shorter sequences."""
-    x = _c(s)
-    return F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).when(x.isNotNull(), F.array().cast("array<string>"))
+    """All k-mers in order; an empty array for shorter sequences. One pass over the text (substrings would each count from
+    its start)."""
+    return F.regexp_extract_all(_c(s), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def canonical_kmers(s: Col, k: int) -> Column:
-    """Canonical k-mers in order. Both strands are made once; k-mer i of one is k-mer n-k-i of the other."""
+    """Canonical k-mers in order: k-mers of both strands side by side, the smaller of each pair."""
     x = F.upper(_c(s))
-    r = reverse_complement(x)
-    n = F.length(x)
-    both = lambda i: F.least(F.substring(x, i, F.lit(k)), F.substring(r, n - i - (k - 2), F.lit(k)))
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), both)).when(x.isNotNull(), F.array().cast("array<string>"))
+    return F.zip_with(kmers(x, k), F.reverse(kmers(reverse_complement(x), k)), lambda a, b: F.least(a, b))
 
 
 def sketch(s: Col, k: int, size: int, hash: str = "prefix4") -> Column:
@@ -130,7 +127,8 @@ def sketch(s: Col, k: int, size: int, hash: str = "prefix4") -> Column:
     """
     x = _c(s)
     n = F.greatest(F.length(x) - k, F.lit(0))
-    cut = F.filter(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(x, i + 1, F.lit(k))), lambda w, i: i < n)
+    words = kmers(x, k)
+    cut = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
     value = {
         "prefix4": lambda w: F.conv(F.hex(F.substring(w, 1, 4)), 16, 10).cast("bigint"),
         "crc32": lambda w: F.crc32(w.cast("binary")),
@@ -167,8 +165,7 @@ def decode_symbol(code: Col, alphabet: list[str]) -> Column:
 
 def codons(s: Col) -> Column:
     """Upper-case triplets in frame; a shorter tail is dropped."""
-    x = F.upper(_c(s))
-    return F.when(F.length(x) >= 3, F.transform(F.sequence(F.lit(1), F.length(x) - 2, F.lit(3)), lambda i: F.substring(x, i, F.lit(3)))).when(x.isNotNull(), F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.upper(_c(s)), F.lit("(?s)(.{3})"), F.lit(1))
 
 
 def translate(s: Col, table: dict[str, str]) -> Column:
