@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ END_ID = 0
 SHARD_IDS = 3_000_000
 BLOCK = 65_536
 #: Re-Pair: rounds at most, new symbols in a round at most, least count of a pair.
-ROUNDS = 8
+ROUNDS = 5
 RULES = 4096
 LEAST = 24
 #: Pieces that a worker remembers with their ids.
@@ -70,54 +71,57 @@ class Encoder:
         self.at = [0]
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.reset()
+        """Remembers the ids of new pieces; pieces are forgotten all at once when there are too many."""
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                got = e.ids
-                end = self.at[-1] + len(got)
-                while end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-                self.ids[self.at[-1] : end] = got
-                self.known[piece] = len(self.at) - 1
-                self.at.append(end)
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ends = self.at[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.at[-1] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1] - self.at[-1]))
+            self.known.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part)), strict=True))
+            self.at.extend(ends.tolist())
+
+    def slots(self, names: list[str]) -> np.ndarray:
+        """Where the ids of these pieces stand; new ones are encoded."""
+        found = list(map(self.known.get, names))
+        if None in found:
+            self.learn(list(dict.fromkeys(n for n, f in zip(names, found, strict=True) if f is None)))
+            found = list(map(self.known.__getitem__, names))
+        return np.array(found, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; and the n+1 offsets."""
+        if len(self.known) > REMEMBERED:
+            self.reset()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy()
-        bare = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], dtype=bool)
+        pieces, index = coded.dictionary, coded.indices.to_numpy()
+        # white space at either end, in the widest sense, or nothing at all
+        bare = pc.or_(pc.equal(pieces, ""), pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces)).to_numpy(zero_copy_only=False)
         doc = segments(offsets)
         first = np.zeros(len(index), dtype=bool)
         first[offsets[:-1]] = True
         odd = np.bincount(doc[bare[index]], minlength=len(texts)) > 0
         # a piece is looked up with its space, the first of a text without
-        spaced = [" " + p for p in pieces]
         plain = ~odd[doc]
-        need = np.unique(index[plain & ~first])
-        begins = np.unique(index[plain & first])
-        whole = [texts[int(k)].as_py() for k in np.flatnonzero(odd)]
-        wanted = [spaced[k] for k in need] + [pieces[k] for k in begins] + whole
-        fresh = [p for p in dict.fromkeys(wanted) if p not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.reset()
-            fresh = list(dict.fromkeys(wanted))
-        self.learn(fresh)
-        at = np.array(self.at)
         slot = np.zeros((2, len(pieces)), np.int64)
-        slot[0, need] = [self.known[spaced[k]] for k in need]
-        slot[1, begins] = [self.known[pieces[k]] for k in begins]
+        for row, chosen in ((0, plain & ~first), (1, plain & first)):
+            seen = np.zeros(len(pieces), dtype=bool)
+            seen[index[chosen]] = True
+            need = np.flatnonzero(seen)
+            names = pieces.take(pa.array(need))
+            slot[row, need] = self.slots((pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string())) if row == 0 else names).to_pylist())
+        whole = self.slots([texts[int(k)].as_py() for k in np.flatnonzero(odd)])
         # one list of slots: pieces of plain texts, or the one slot of an odd text, then -1 for the end id
+        at = np.array(self.at)
         used = np.where(first, slot[1][index], slot[0][index])
         count = np.where(odd, 1, np.diff(offsets)) + 1
         start = np.concatenate(([0], np.cumsum(count)))
         slots = np.full(start[-1], -1, np.int64)
-        slots[ragged(start[:-1], count - 1)] = _joined(used, plain, odd, offsets, [self.known[w] for w in whole])
+        slots[ragged(start[:-1], count - 1)] = _joined(used, plain, odd, offsets, whole)
         length = np.where(slots < 0, 1, at[slots + 1] - at[slots])
         ids = np.full(int(length.sum()), END_ID, np.uint32)
         put = np.concatenate(([0], np.cumsum(length)))
@@ -126,12 +130,12 @@ class Encoder:
         return ids, put[start]
 
 
-def _joined(used: np.ndarray, plain: np.ndarray, odd: np.ndarray, offsets: np.ndarray, whole: list[int]) -> np.ndarray:
+def _joined(used: np.ndarray, plain: np.ndarray, odd: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Slots in document order: the pieces of plain texts and one slot for each odd text."""
     if not odd.any():
         return used
     order = np.concatenate([np.flatnonzero(plain), offsets[:-1][odd]])
-    values = np.concatenate([used[plain], np.array(whole, np.int64)])
+    values = np.concatenate([used[plain], whole])
     return values[np.argsort(order, kind="stable")]
 
 
@@ -149,7 +153,9 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rounds: int = R
         inside[edge[(edge > 0) & (edge <= len(key))] - 1] = False
         slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
         rough = np.bincount(slot[inside].astype(np.int64), minlength=1 << 21)
-        likely = inside & (rough[slot.astype(np.int64)] >= least)
+        # a pair is as frequent as its slot at most: only the fullest slots can hold the pairs of this round
+        bar = max(least, int(np.partition(rough, -rules)[-rules]))
+        likely = inside & (rough[slot.astype(np.int64)] >= bar)
         pairs, n = np.unique(key[likely], return_counts=True)
         pairs, n = pairs[n >= least], n[n >= least]
         if not len(pairs):
@@ -277,7 +283,7 @@ def _write(path: str, terminals: int):
             return out
 
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch):
                 ids, offsets = encoder.encode(part.column("text"))
                 keys.extend(part.column("doc_id").to_pylist())
                 parts.append(ids)
