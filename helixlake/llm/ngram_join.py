@@ -9,7 +9,7 @@ only if each shares t times its size with the other, so:
 2. All sets are ordered by document frequency, rarest first. With a = n - ceil(t n), two similar sets share l shingles at
    least among their first a + l, for every l. Each class takes the l with the least estimated cost: postings to read,
    and the candidates that are left (by Markov's inequality at most the postings over l), each with its price. A pair
-   has to share the smaller l of the two.
+   has to share the smaller l of the two, each at a rank that leaves room for the overlap.
 3. Links only matter for components. Pivot rounds come first: in every posting list all classes are held against one
    class of another component. Postings whose classes are in one component by then are settled; the others give all
    pairs between components, which are counted against l and verified exactly.
@@ -41,7 +41,7 @@ WIDTH = 5
 #: The similarity as a fraction.
 NUM, DEN = 3, 4
 #: Price of verifying a candidate, in postings read.
-PRICE = 16.0
+PRICE = 4.0
 PIVOT_ROUNDS = 2
 _LOW = np.uint64(0x7FFFFFFF)
 
@@ -176,27 +176,29 @@ def _alive(n: int):
 
 
 def prefix(freq: np.ndarray, n: int) -> tuple[int, int]:
-    """(l, shared shingles to post) of a class with n shingles, of which these, rarest first, are shared."""
-    a = n - -(-NUM * n // DEN)
-    before = a - (n - len(freq))  # of the first a places, those that unshared shingles leave
-    if before < 0:
+    """(l, shared shingles to post) of a class with n shingles, of which these, rarest first, are shared.
+
+    Posted are the first a + l places, those of unshared shingles left out. The cost looks at the places that a partner of
+    the same size leaves: a match behind them is dropped by its rank when the posting is read.
+    """
+    a, near = n - -(-NUM * n // DEN), n - -(-2 * NUM * n // (NUM + DEN))
+    unshared = n - len(freq)
+    if a < unshared:
         return 0, 0
-    most = n - a
-    total = np.cumsum(freq.astype(np.float64))
-    lengths = np.arange(1, most + 1)
-    read = total[before + lengths - 1]
-    cost = read + PRICE * np.maximum(read - before - lengths, 0) / lengths
-    best = int(np.argmin(cost)) + 1
-    return best, before + best
+    total = np.concatenate(([0.0], np.cumsum(freq.astype(np.float64))))
+    lengths = np.arange(1, n - a + 1)
+    read = total[np.clip(near - unshared + lengths, 0, len(freq))]
+    best = int(np.argmin(read * (1 + PRICE / lengths) + 1e-9 * lengths)) + 1
+    return best, a - unshared + best
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, names, sizes, least = [], [], [], []
+        tokens, names, sizes, least, ranks = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             k = [len(t) for t in tokens]
-            return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "name": pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(k)), k))), "n": pa.array(np.repeat(sizes, k), pa.int64()), "l": pa.array(np.repeat(least, k), pa.int32())})
+            return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "name": pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(k)), k))), "n": pa.array(np.repeat(sizes, k), pa.int64()), "l": pa.array(np.repeat(least, k), pa.int32()), "r": pa.array(np.concatenate(ranks), pa.int64())})
 
         held = 0
         for name, n, shared, freq in zip(batch.column("name").to_pylist(), batch.column("n").to_pylist(), batch.column("shared"), batch.column("sums"), strict=True):
@@ -206,10 +208,11 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(name)
                 sizes.append(n)
                 least.append(count)
+                ranks.append(np.arange(post) + n - len(shared.as_py()) // 8)
                 held += post
                 if held > 200_000:
                     yield flush()
-                    tokens, names, sizes, least, held = [], [], [], [], 0
+                    tokens, names, sizes, least, ranks, held = [], [], [], [], [], 0
         if tokens:
             yield flush()
 
@@ -251,7 +254,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def links_of(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes: enough of them for the components of all links."""
     spark = classes.sparkSession
-    postings = written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int"))
+    postings = written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long"))
     found = None
     labels = None
     for _ in range(PIVOT_ROUNDS):
@@ -269,8 +272,10 @@ def links_of(classes: DataFrame) -> DataFrame:
     now = postings.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")) if labels is not None else postings.withColumn("label", F.col("name"))
     mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
     rest = written(now.join(mixed, "token", "left_semi"))
-    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "label"))) for s in "xy")
-    close = (F.col("name_x") < F.col("name_y")) & (F.col("label_x") != F.col("label_y")) & (DEN * F.least("n_x", "n_y") >= NUM * F.greatest("n_x", "n_y"))
+    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r", "label"))) for s in "xy")
+    # at the k-th common shingle, k <= l, both have to hold the rest of the overlap from its rank on
+    rest_of = F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y")) + F.least("l_x", "l_y") - 1
+    close = (F.col("name_x") < F.col("name_y")) & (F.col("label_x") != F.col("label_y")) & ((NUM + DEN) * rest_of >= NUM * (F.col("n_x") + F.col("n_y")))
     pairs = x.join(y, "token").where(close).groupBy(F.col("name_x").alias("a"), F.col("name_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).where("c >= l").select("a", "b")
     last = verified(pairs, classes)
     return last if found is None else found.unionByName(last)
