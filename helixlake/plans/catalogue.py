@@ -323,9 +323,9 @@ def sw_align(spark, sf):
     return rand_dna(spark, sf).select("o_orderkey", run(F.substring("dna", 1, 16), F.substring("dna", 17, 16)).alias("r")).select("o_orderkey", "r.*")
 
 
-@query("SELECT l_orderkey, string_agg((l_extendedprice::BIGINT % 65536 - 32768)::VARCHAR, ',' ORDER BY l_linenumber) AS signal FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, string_agg(((l_partkey * l_suppkey) % 65536 - 32768)::VARCHAR, ',' ORDER BY l_linenumber, (l_partkey * l_suppkey) % 65536) AS signal FROM lineitem GROUP BY l_orderkey")
 def svb_roundtrip(spark, sf):
-    v = (F.round("l_extendedprice", 0).cast("bigint") % 65536 - 32768).cast("smallint")
+    v = (F.col("l_partkey") * F.col("l_suppkey") % 65536 - 32768).cast("smallint")
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", v.alias("v")))), lambda x: x.v).alias("s"))
     packed = s.select("l_orderkey", F.size("s").alias("n"), codec.svb_compress_column("s").alias("c"))
     return packed.select("l_orderkey", F.array_join(codec.svb_decompress_column("n", "c.mask", "c.data").cast("array<string>"), ",").alias("signal"))
@@ -336,24 +336,26 @@ def svb_roundtrip(spark, sf):
 
 @query(f"""WITH {_SEQS}, p AS (SELECT doc_id, dna, unnest(range(1, len(dna) - 4)) AS i FROM seqs),
 s AS (SELECT doc_id, i + 6 AS position, true AS forward FROM p WHERE substr(dna, i, 6) = 'GGTCTC' UNION ALL SELECT doc_id, i - 2, false FROM p WHERE substr(dna, i, 6) = 'GAGACC')
-SELECT doc_id, position, forward, lead(position) OVER (PARTITION BY doc_id ORDER BY position, forward DESC) AS next FROM s""")
+SELECT doc_id, position, forward, coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY position, forward DESC), -1) AS next FROM s""")
 def cut_sites(spark, sf):
     from pyspark.sql import Window as W
 
-    at = lambda site, shift, forward: seqs(spark, sf).select("doc_id", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("dna"), F.lit(1))), lambda i: F.when(F.substring("dna", i, F.lit(6)) == site, i + shift)), lambda x: x.isNotNull())).cast("long").alias("position"), F.lit(forward).alias("forward"))
+    at = lambda site, shift, forward: seqs(spark, sf).select("doc_id", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("dna"), F.lit(1))), lambda i: F.when(F.substring("dna", i, F.lit(6)) == site, i + shift)), lambda x: x.isNotNull())).alias("position")).select("doc_id", F.col("position").cast("long"), F.lit(forward).alias("forward"))
     sites = at("GGTCTC", 6, True).unionByName(at("GAGACC", -2, False))
-    return sites.withColumn("next", F.lead("position").over(W.partitionBy("doc_id").orderBy("position", F.desc("forward"))))
+    return sites.withColumn("next", F.coalesce(F.lead("position").over(W.partitionBy("doc_id").orderBy("position", F.desc("forward"))), F.lit(-1)))
 
 
-@query(f"""WITH {_RAND}, p AS (SELECT o_orderkey, replace(replace(replace(replace(substr(dna, 5, 24), 'GGTCTC', 'GGTATC'), 'GAGACC', 'GATACC'), 'TCTC', 'TATC'), 'GAGA', 'GATA') AS s, substr(dna, 1, 4) AS a, substr(dna, 29, 4) AS b FROM rand)
-SELECT o_orderkey, s AS sequence, a AS forward_overhang, b AS reverse_overhang FROM p WHERE a NOT IN ('x')""")
+_ONE_EACH = "len(p) - len(replace(p, 'GGTCTC', '')) = 6 AND len(p) - len(replace(p, 'GAGACC', '')) = 6"
+
+
+@query(f"""WITH {_RAND}, p AS (SELECT o_orderkey, dna, 'TTTTTTGGTCTCA' || dna || 'TGAGACCTTTTTT' AS p FROM rand)
+SELECT o_orderkey, substr(dna, 5, 24) AS sequence, substr(dna, 1, 4) AS forward_overhang, substr(dna, 29, 4) AS reverse_overhang FROM p WHERE {_ONE_EACH}""")
 def digest(spark, sf):
-    body = F.substring("dna", 5, 24)
-    for site, other in (("GGTCTC", "GGTATC"), ("GAGACC", "GATACC"), ("TCTC", "TATC"), ("GAGA", "GATA")):
-        body = F.replace(body, F.lit(site), F.lit(other))
-    part = F.concat(F.lit("TTTTTTGGTCTCA"), F.substring("dna", 1, 4), body, F.substring("dna", 29, 4), F.lit("TGAGACCTTTTTT"))
+    """Sequences between two sites, cut out of their vectors; those with sites of their own are left out."""
+    part = F.concat(F.lit("TTTTTTGGTCTCA"), "dna", F.lit("TGAGACCTTTTTT"))
+    one = lambda site: F.length(part) - F.length(F.replace(part, F.lit(site), F.lit(""))) == 6
     cut = cloning.digest_column("BsaI")
-    return rand_dna(spark, sf).select("o_orderkey", F.explode(cut(part, F.lit(False))).alias("f")).select("o_orderkey", "f.*").where(F.length("sequence") == 24)
+    return rand_dna(spark, sf).where(one("GGTCTC") & one("GAGACC")).select("o_orderkey", F.explode(cut(part, F.lit(False))).alias("f")).select("o_orderkey", "f.*")
 
 
 def _gate_parts(spark, sf):
@@ -414,16 +416,22 @@ def next_overhangs(spark, sf):
     return spark.createDataFrame(design.next_overhangs(["AATG", "GCTT", "AGGA", "CGCT"], fidelity), "overhang string, efficiency double")
 
 
+def _long_dna(spark, sf) -> DataFrame:
+    """384 letters for each customer."""
+    part = lambda k: F.translate(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit(f"-{k}")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return table(spark, sf, "customer").select("c_custkey", F.concat(*[part(k) for k in range(12)]).alias("dna"))
+
+
 @query()
 def fragment_sequences(spark, sf):
     run = design.fragment_column(60, 90, design.read_fidelity(_fidelity(spark)))
-    return items(spark, sf).where(F.length("sequence") > 90).select("identifier", run("sequence").alias("f")).select("identifier", F.array_join("f.fragments", ",").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
+    return _long_dna(spark, sf).select("c_custkey", run("dna").alias("f")).select("c_custkey", F.array_join("f.fragments", ",").alias("fragments"), F.round("f.efficiency", 9).alias("efficiency"), "f.error")
 
 
 @query()
 def recursive_fragment(spark, sf):
     run = design.recursive_fragment_column(100, [3, 4], design.read_fidelity(_fidelity(spark)))
-    return items(spark, sf).where(F.length("sequence") > 90).select("identifier", run("sequence").alias("f")).select("identifier", F.explode_outer("f.nodes").alias("n"), "f.error").select("identifier", "n.node", "n.parent", "n.level", "n.sequence", "error")
+    return _long_dna(spark, sf).select("c_custkey", run("dna").alias("f")).select("c_custkey", F.explode_outer("f.nodes").alias("n"), "f.error").select("c_custkey", "n.node", "n.parent", "n.level", "n.sequence", "error")
 
 
 _PROTEIN = _case({k: v for k, v in codons.translation_map(1).items()}, "t")
@@ -433,7 +441,7 @@ _PROTEIN = _case({k: v for k, v in codons.translation_map(1).items()}, "t")
 def codon_optimize(spark, sf):
     """Proteins to weighted codons and back."""
     known = codons.translation_map(1)
-    table_ = design.as_codons(codons.weighted(codons.codon_tables(spark, 1), items(spark, sf)))
+    table_ = design.as_codons(codons.weighted(codons.codon_tables(spark, 1), seqs(spark, sf), "dna"))
     p = rand_dna(spark, sf).select("o_orderkey", seq.translate("dna", known).alias("p"))
     return p.select("o_orderkey", design.optimize_column(table_)("p", "o_orderkey").alias("d")).select("o_orderkey", seq.translate("d.dna", known).alias("protein"))
 
@@ -450,7 +458,7 @@ def cds_fix(spark, sf):
 
 @query()
 def dual_barcode(spark, sf):
-    """Wells of all texts as reads, by four barcodes that are made from the words of the first benchmark item."""
+    """Wells of all texts as reads, between two barcodes; four wells of words from a de Bruijn string."""
     words = [design.de_bruijn(6)[40 * i : 40 * i + 24] for i in range(4)]
     wells = spark.createDataFrame([(f"W{i}{j}", words[i], words[2 + j]) for i in range(2) for j in range(2)], "name string, forward string, reverse string")
     reads = seqs(spark, sf).select("doc_id", F.concat(F.lit(words[0] + "GTTTTCCCAGTCACGAC"), "dna", F.lit(cloning.revcomp(words[3] + "AGCGGATAACAATTTCACACAGG"))).alias("sequence"))
@@ -496,7 +504,7 @@ def _pileups(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", s.alias("s")))), lambda x: x.s).alias("read_results"))
 
 
-@query(f"SELECT l_orderkey, string_agg({_SYMBOLS}, '|' ORDER BY l_linenumber) AS results FROM lineitem GROUP BY l_orderkey")
+@query(f"SELECT l_orderkey, string_agg({_SYMBOLS}, '|' ORDER BY l_linenumber, {_SYMBOLS}) AS results FROM lineitem GROUP BY l_orderkey")
 def pileup_roundtrip(spark, sf):
     line = _pileups(spark, sf).select(F.col("l_orderkey").cast("string").alias("sequence"), F.lit(1).alias("position"), F.lit("C").alias("reference_base"), F.size("read_results").alias("read_count"), "read_results", F.lit("I").alias("quality")).select(native.pileup_text().alias("value"))
     return native.pileup_lines(line).select(F.col("sequence").cast("long").alias("l_orderkey"), F.array_join("read_results", "|").alias("results"))
