@@ -10,9 +10,9 @@ only if each shares t times its size with the other, so:
    least among their first a + l, for every l. Each class takes the l with the least estimated cost: postings to read,
    and the candidates that are left (by Markov's inequality at most the postings over l), each with its price. A pair
    has to share the smaller l of the two, each at a rank that leaves room for the overlap.
-3. Links only matter for components. Pivot rounds come first: in every posting list all classes are held against one
-   class of another component. Postings whose classes are in one component by then are settled; the others give all
-   pairs between components, which are counted against l and verified exactly.
+3. Links only matter for components. Pivot rounds come first, as long as they find links: in every posting list all
+   classes are held against one class of another component. Postings whose classes are in one component by then are
+   settled; the others give all pairs between components, which are counted against l and verified exactly.
 4. Components by label propagation with pointer jumping.
 
 No step collects a posting list or a group: a task sends a shingle once, lists meet pivots in a join that Spark can
@@ -42,7 +42,7 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: Price of verifying a candidate, in postings read.
 PRICE = 4.0
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 8
 _LOW = np.uint64(0x7FFFFFFF)
 
 
@@ -236,10 +236,14 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_verify, "a binary, b binary")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """name, label: the smallest name that links reach. Least labels of neighbours, then the label's label, until nothing changes."""
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """name, label of all linked names: the smallest name that links reach. Begins with the labels of `start`; takes the
+    least labels of neighbours, then the label's label, until nothing changes."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "name"))
+    known = both.groupBy(F.col("a").alias("name")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    if start is not None:
+        known = known.join(start.withColumnRenamed("label", "had"), "name", "left").select("name", F.least("label", "had").alias("label"))
+    known = written(known)
     while True:
         near = both.join(known.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = known.join(near, known.name == near.a).select("name", F.col("label").alias("old"), F.least("label", "near").alias("to"))
@@ -247,38 +251,41 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = written(jump.select("name", "old", F.least("to", F.coalesce("up", "to")).alias("label")))
         known = new.select("name", "label")
         if new.where(F.col("old") != F.col("label")).isEmpty():
-            break
-    return nodes.select("name").join(known, "name", "left").select("name", F.coalesce("label", "name").alias("label"))
-
-
-def links_of(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes: enough of them for the components of all links."""
-    spark = classes.sparkSession
-    postings = written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long"))
-    found = None
-    labels = None
-    for _ in range(PIVOT_ROUNDS):
-        now = postings if labels is None else postings.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-        now = now.withColumn("label", F.col("name")) if labels is None else now
-        heads = now.groupBy("token").agg(F.min(F.struct("label", "name")).alias("low"), F.max("label").alias("high")).where(F.col("low.label") != F.col("high"))
-        pairs = now.join(heads, "token").where((F.col("label") != F.col("low.label"))).groupBy(F.col("name").alias("a"), F.col("low.name").alias("b")).agg(F.count("*").alias("c"))
+            return known
+
+
+def mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with new labels, of shingles that classes of several components hold; the rest is settled."""
+    now = postings.drop("label").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    open_ = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
+    return written(now.join(open_, "token", "left_semi"))
+
+
+def links_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between classes, enough of them for the components of all links; and labels to begin with."""
+    rest = written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long").withColumn("label", F.col("name")))
+    found, labels, nodes = None, None, classes.count()
+    for k in range(PIVOT_ROUNDS):
+        # a list's pivot is the class first in an order of this round, which all lists share
+        order = F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name", "label")
+        heads = rest.groupBy("token").agg(F.min(order).alias("pivot"))
+        pairs = rest.join(heads, "token").where(F.col("label") != F.col("pivot.label")).groupBy(F.col("name").alias("a"), F.col("pivot.name").alias("b")).agg(F.count("*").alias("c"))
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         more = written(verified(best, classes))
-        found = more if found is None else written(found.unionByName(more))
-        if more.isEmpty():
+        n = more.count()
+        if n:
+            found = more if found is None else written(found.unionByName(more))
+            labels = components(found, labels)
+            rest = mixed(rest, labels)
+        if n <= nodes // 1000:
             break
-        labels = components(classes, found)
-        labels = written(labels.where(F.col("label") != F.col("name")))
-    now = postings.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")) if labels is not None else postings.withColumn("label", F.col("name"))
-    mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    rest = written(now.join(mixed, "token", "left_semi"))
     x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r", "label"))) for s in "xy")
     # at the k-th common shingle, k <= l, both have to hold the rest of the overlap from its rank on
     rest_of = F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y")) + F.least("l_x", "l_y") - 1
     close = (F.col("name_x") < F.col("name_y")) & (F.col("label_x") != F.col("label_y")) & ((NUM + DEN) * rest_of >= NUM * (F.col("n_x") + F.col("n_y")))
     pairs = x.join(y, "token").where(close).groupBy(F.col("name_x").alias("a"), F.col("name_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).where("c >= l").select("a", "b")
     last = verified(pairs, classes)
-    return last if found is None else found.unionByName(last)
+    return (last if found is None else found.unionByName(last)), labels
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -290,7 +297,8 @@ def joined(docs: DataFrame) -> DataFrame:
     found = written(held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_alive(n), "doc_id long, n long, name binary, shared binary, sums binary"))
     alive = found.where("name is not null")
     classes = written(alive.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("sums").alias("sums")))
-    labels = written(components(classes, links_of(classes)))
+    linked = components(*links_of(classes))
+    labels = written(classes.select("name").join(linked, "name", "left").select("name", F.coalesce("label", "name").alias("label")))
     low = classes.select("name", "rep").join(labels, "name").groupBy("label").agg(F.min("rep").alias("component_id"))
     known = labels.join(low, "label").select("name", "component_id")
     single = found.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
