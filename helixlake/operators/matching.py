@@ -13,16 +13,16 @@ def unique_kmer_index(templates: DataFrame, k: int = 16, least: int | None = Non
     """kmer, identifier: canonical k-mers that stand in exactly one record of templates (identifier, sequence).
 
     Records are told apart by their own row, not by name, so equal names add up. With `least`, a name with fewer unique
-    k-mers raises an error when the index is read.
+    k-mers raises an error at once.
     """
     rows = templates.select("identifier", F.monotonically_increasing_id().alias("rec"), F.explode(F.array_distinct(seq.canonical_kmers("sequence", k))).alias("kmer"))
     index = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("identifier").alias("identifier")).where("n = 1").select("kmer", "identifier")
     if least is None:
         return index
-    counts = template_sizes(templates, index)
-    short = F.concat(F.lit("Got only "), F.col("total").cast("string"), F.lit(f" unique kmers of required {least} for sequence "), F.col("identifier"))
-    checked = counts.select("identifier", F.when(F.col("total") < least, F.raise_error(short).cast("boolean")).otherwise(F.lit(True)).alias("ok"))
-    return index.join(checked.where("ok"), "identifier").select("kmer", "identifier")
+    short = template_sizes(templates, index).where(F.col("total") < least).orderBy("identifier").first()
+    if short:
+        raise ValueError(f"Got only {short.total} unique kmers of required {least} for sequence {short.identifier}")
+    return index
 
 
 def template_sizes(templates: DataFrame, index: DataFrame) -> DataFrame:

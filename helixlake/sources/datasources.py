@@ -55,7 +55,7 @@ def files(path: str) -> list[tuple[str, int, int]]:
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(p)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, recursive=True))
-        out += [(head + f.path, f.size, f.mtime_ns or 0) for f in found if f.type == fs.FileType.File and not re.match(r"[._]", f.path.rsplit("/", 1)[-1])]
+        out += [(head + f.path, f.size, f.mtime_ns or 0) for f in found if f.type == fs.FileType.File and not re.search(r"(^|/)[._]", f.path[len(inner.rstrip("/")) + 1 :] if f.path != info.path else f.path.rsplit("/", 1)[-1])]
     return sorted(out)
 
 
