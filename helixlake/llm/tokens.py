@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, segments, shared_dir, slices, table
+from .common import ragged, segments, shared_dir, slices, table, text_bytes
 
 END_ID = 0
 #: Ids in a shard; a task holds one shard at a time.
@@ -49,47 +49,90 @@ RANGE_BYTES = 16 << 20
 _MAGIC = b"HXTK1\0\0\0"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies; a line break stands for the gap between words here."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(plain)]
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)} | {10: " "}
+
+
 class Encoder:
     """Ids of whole texts, by pieces.
 
     Texts are cut before every single space between two characters that are not white space. The tokenizer never joins
     over such a place, so a piece gives the same ids alone as in its text. Texts with other white space at a cut are
-    encoded whole.
+    encoded whole. A piece of letters with marks behind (no apostrophe) is two words to the tokenizer, the letters with
+    their space and the marks; both are remembered, and new words go to its model many at once.
     """
 
+    MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = _byte_letters()
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}  # names to slots; slot 0 is empty
         self.ids = np.empty(1 << 20, np.uint32)
-        self.at = [0]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces; pieces are forgotten all at once when there are too many."""
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = self.at[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.at[-1] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1] - self.at[-1]))
-            self.known.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part)), strict=True))
-            self.at.extend(ends.tolist())
-
-    def slots(self, names: list[str]) -> np.ndarray:
-        """Where the ids of these pieces stand; new ones are encoded."""
+        self.at = np.zeros(1 << 16, np.int64)  # slot k holds ids at[k] to at[k + 1]
+
+    def keep(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(names) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        ends = self.at[n] + np.cumsum(counts)
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.at[n] : ends[-1]] = ids
+        self.at[n + 1 : n + 1 + len(names)] = ends
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def slots(self, names: list[str], words: bool) -> np.ndarray:
+        """Where the ids of these names stand; new ones are encoded. `words`: each is one word to the tokenizer."""
         found = list(map(self.known.get, names))
         if None in found:
-            self.learn(list(dict.fromkeys(n for n, f in zip(names, found, strict=True) if f is None)))
+            new = list(dict.fromkeys(n for n, f in zip(names, found, strict=True) if f is None))
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                if words:
+                    e = self.model.encode("\n".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+                    self.keep(part, np.array(e.ids, np.uint32), np.bincount(e.word_ids, minlength=len(part)))
+                else:
+                    got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                    self.keep(part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
             found = list(map(self.known.__getitem__, names))
         return np.array(found, dtype=np.int64)
 
+    def pieces(self, names: pa.Array, spaced: bool) -> np.ndarray:
+        """Two slots for each piece: letters and marks, or all of it and nothing."""
+        if spaced:
+            names = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string()))
+        stems = pc.utf8_rtrim(names, self.MARKS)
+        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, 1) if spaced else stems).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(names), 2), np.int64)
+        yes, no = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(yes):
+            coded = stems.take(pa.array(yes)).dictionary_encode()
+            out[yes, 0] = self.slots(coded.dictionary.to_pylist(), words=True)[coded.indices.to_numpy()]
+            marked = yes[(pc.binary_length(names).to_numpy() > pc.binary_length(stems).to_numpy())[yes]]
+            if len(marked):
+                # the marks are the last bytes of each piece
+                raw, ends = text_bytes(names.take(pa.array(marked)))
+                size = (pc.binary_length(names).to_numpy() - pc.binary_length(stems).to_numpy())[marked]
+                tails = raw[ragged(ends[1:] - size, size)]
+                coded = pa.LargeStringArray.from_buffers(len(marked), pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(tails)).dictionary_encode()
+                out[marked, 1] = self.slots(coded.dictionary.to_pylist(), words=True)[coded.indices.to_numpy()]
+        if len(no):
+            out[no, 0] = self.slots(names.take(pa.array(no)).to_pylist(), words=False)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; and the n+1 offsets."""
         if len(self.known) > REMEMBERED:
@@ -107,31 +150,39 @@ class Encoder:
         odd = np.bincount(doc[bare[index]], minlength=len(texts)) > 0
         # a piece is looked up with its space, the first of a text without
         plain = ~odd[doc]
-        slot = np.zeros((2, len(pieces)), np.int64)
+        entry = np.zeros((2, len(pieces)), np.int64)
+        slots, n = [np.zeros((1, 2), np.int64)], 1  # entry 0 is empty
         for row, chosen in ((0, plain & ~first), (1, plain & first)):
             seen = np.zeros(len(pieces), dtype=bool)
             seen[index[chosen]] = True
             need = np.flatnonzero(seen)
-            names = pieces.take(pa.array(need))
-            slot[row, need] = self.slots((pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string())) if row == 0 else names).to_pylist())
-        whole = self.slots([texts[int(k)].as_py() for k in np.flatnonzero(odd)])
-        # one list of slots: pieces of plain texts, or the one slot of an odd text, then -1 for the end id
-        at = np.array(self.at)
-        used = np.where(first, slot[1][index], slot[0][index])
+            if len(need):
+                slots.append(self.pieces(pieces.take(pa.array(need)), spaced=row == 0))
+                entry[row, need] = np.arange(n, n + len(need))
+                n += len(need)
+        whole = self.slots([texts[int(k)].as_py() for k in np.flatnonzero(odd)], words=False)
+        slots.append(np.stack([whole, np.zeros_like(whole)], axis=1))
+        # ids of the entries of this batch, each in one run
+        pairs = np.concatenate(slots).reshape(-1)
+        size = self.at[pairs + 1] - self.at[pairs]
+        flat = self.ids[ragged(self.at[pairs], size)]
+        at = np.concatenate(([0], np.cumsum(size)))[::2]
+        # entries in document order, and -1 for the end ids
+        used = np.where(first, entry[1][index], entry[0][index])
         count = np.where(odd, 1, np.diff(offsets)) + 1
         start = np.concatenate(([0], np.cumsum(count)))
-        slots = np.full(start[-1], -1, np.int64)
-        slots[ragged(start[:-1], count - 1)] = _joined(used, plain, odd, offsets, whole)
-        length = np.where(slots < 0, 1, at[slots + 1] - at[slots])
+        order = np.full(start[-1], -1, np.int64)
+        order[ragged(start[:-1], count - 1)] = _joined(used, plain, odd, offsets, np.arange(n, n + len(whole)))
+        length = np.where(order < 0, 1, at[order + 1] - at[order])
         ids = np.full(int(length.sum()), END_ID, np.uint32)
         put = np.concatenate(([0], np.cumsum(length)))
-        real = slots >= 0
-        ids[ragged(put[:-1][real], length[real])] = self.ids[ragged(at[slots[real]], length[real])]
+        real = order >= 0
+        ids[ragged(put[:-1][real], length[real])] = flat[ragged(at[order[real]], length[real])]
         return ids, put[start]
 
 
 def _joined(used: np.ndarray, plain: np.ndarray, odd: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Slots in document order: the pieces of plain texts and one slot for each odd text."""
+    """Entries in document order: the pieces of plain texts and one entry for each odd text."""
     if not odd.any():
         return used
     order = np.concatenate([np.flatnonzero(plain), offsets[:-1][odd]])
