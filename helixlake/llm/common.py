@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -106,22 +107,31 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, np.ndarray] = {}
 _STEP = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _BYTE_CODES = [mix(np.arange(256, dtype=np.uint64), 11 + lane) for lane in range(2)]
 
 
-def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, lane: int) -> tuple[np.ndarray, np.uint64]:
+    """Powers 0 to m - 1 of the lane's step, m > n, and the inverse of power m - 1: backwards they are negative powers."""
     have = _POWERS.get(lane)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        up = np.full(size, _STEP[lane], dtype=np.uint64)
-        down = np.full(size, pow(_STEP[lane], -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
-        if size <= 8 * SLICE_BYTES:
+    if have is None or len(have) < n + 1:
+        size = max(n + 1, SLICE_BYTES + (1 << 16))
+        have = np.full(size, _STEP[lane], dtype=np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if size <= 4 * SLICE_BYTES:
             _POWERS[lane] = have
-    return have
+    return have, np.uint64(pow(int(have[-1]), -1, 1 << 64))
+
+
+def released() -> None:
+    """Gives memory that is free but held back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lane: int = 0) -> np.ndarray:
@@ -131,12 +141,12 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     codes = _BYTE_CODES[lane].copy()
     if lower:
         codes[65:91] = codes[97:123]
-    up, down = _powers(len(raw) + 1, lane)
+    up, back = _powers(len(raw), lane)
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
     length = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + length, lane)
+    return mix((total[ends] - total[starts]) * (up[len(up) - 1 - starts] * back) + length, lane)
 
 
 def window_hashes(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray:

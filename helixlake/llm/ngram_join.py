@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import LAST, chunks, packed, unpack
-from .common import buckets, by_bucket, mix, segments, table, window_hashes, word_hashes, word_spans, written
+from .common import buckets, by_bucket, mix, released, segments, table, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 5
 #: The similarity as a fraction.
@@ -170,6 +170,7 @@ def _alive(n: int):
                 k = k[np.lexsort((key[a:b][k], f[k]))]
                 held[d], freq[d] = key[a:b][k].tobytes(), f[k].tobytes()
             out.append(pa.table([pa.array([None if i == LAST else int(i) for i in ids], pa.int64()), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(held, pa.binary()), pa.array(freq, pa.binary())], schema=_DOCS))
+        released()
         return pa.concat_tables(out) if out else _DOCS.empty_table()
 
     return run

@@ -32,18 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, segments, shared_dir, slices, table, text_bytes
+from .common import ragged, released, segments, shared_dir, slices, table, text_bytes
 
 END_ID = 0
 #: Ids in a shard; a task holds one shard at a time.
-SHARD_IDS = 3_000_000
+SHARD_IDS = 1_500_000
 BLOCK = 65_536
 #: Re-Pair: rounds at most, new symbols in a round at most, least count of a pair.
 ROUNDS = 5
 RULES = 4096
 LEAST = 24
 #: Pieces that a worker remembers with their ids.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 RANGE_BYTES = 16 << 20
 
 _MAGIC = b"HXTK1\0\0\0"
@@ -331,10 +331,11 @@ def _write(path: str, terminals: int):
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
             ids = np.concatenate(parts)
             out = pa.RecordBatch.from_pydict({"shard": [number], "n_ids": [len(ids)], "payload": pa.array([pack(keys, ids, offsets, terminals)], pa.binary())})
+            released()
             return out
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 ids, offsets = encoder.encode(part.column("text"))
                 keys.extend(part.column("doc_id").to_pylist())
                 parts.append(ids)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, slices, table, written
+from .common import fold, labelled_sample, released, slices, table, written
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms of the lexicon, at most.
 SAMPLE = 20_000
@@ -298,6 +298,7 @@ def scored(docs: DataFrame, model: dict, keep: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(keep), pa.array(score(part.column("text"), model))], names=[keep, "score"])
+        released()
 
     kind = docs.schema[keep].dataType.simpleString()
     return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, score double")
