@@ -17,14 +17,22 @@ CHUNK = 4 << 20
 LAST = np.int64(2**63 - 1)
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def pack(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> bytes:
     head = np.array([len(ids)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + ids.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + raw.tobytes())
+    return squeezed(head + ids.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + raw.tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, bytes, offsets."""
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = unsqueezed(blob)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, offset=16 + 16 * n), np.frombuffer(data, "<i8", n + 1, 8 + 8 * n)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import LAST, chunks, pack, packed, unpack
+from .chunks import LAST, chunks, pack, packed, squeezed, unpack, unsqueezed
 from .common import buckets, by_bucket, mix, ragged, segments, table, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 13
@@ -242,7 +242,7 @@ def _verify(n: int):
             x, y, low, high = x[head], y[head], d[head], d[last]
             bucket = by_bucket(x, n).astype(np.int64)
             cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            blobs = [x[a:b].tobytes() + low[a:b].astype("<i8").tobytes() + high[a:b].astype("<i8").tobytes() + y[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            blobs = [squeezed(x[a:b].tobytes() + y[a:b].astype(np.uint32).tobytes() + low[a:b].astype("<i8").tobytes() + (high[a:b] - low[a:b]).astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             chunk = key[0].as_py()
             out.append(_rows(len(blobs), bucket=pa.array(bucket[cut[:-1]], pa.int32()), chunk=pa.array(np.full(len(blobs), chunk)), blob=pa.array(blobs, pa.binary())))
             held = np.flatnonzero(wait)
@@ -259,12 +259,12 @@ def _smallest(rows: pa.Table) -> pa.Table:
     numbers = rows["chunk"].to_pylist()
     x, low, high, y, owner = [], [], [], [], []
     for k, b in enumerate(rows["blob"]):
-        raw = b.as_py()
+        raw = unsqueezed(b.as_py())
         m = len(raw) // 28
         x.append(np.frombuffer(raw, np.uint64, m))
-        low.append(np.frombuffer(raw, "<i8", m, 8 * m))
-        high.append(np.frombuffer(raw, "<i8", m, 16 * m))
-        y.append(np.frombuffer(raw, np.uint32, m, 24 * m))
+        y.append(np.frombuffer(raw, np.uint32, m, 8 * m))
+        low.append(np.frombuffer(raw, "<i8", m, 12 * m))
+        high.append(low[-1] + np.frombuffer(raw, "<i8", m, 20 * m))
         owner.append(np.full(m, k))
     x, low, high, y, owner = map(np.concatenate, (x, low, high, y, owner))
     order = np.lexsort((y, x))
@@ -276,16 +276,16 @@ def _smallest(rows: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     x, y, owner, least = x[order], y[order], owner[order], least[order]
     cut = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
-    return pa.table({"chunk": pa.array([numbers[owner[a]] for a in cut[:-1]], pa.int64()), "blob": pa.array([x[a:b].tobytes() + least[a:b].astype("<i8").tobytes() + y[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    return pa.table({"chunk": pa.array([numbers[owner[a]] for a in cut[:-1]], pa.int64()), "blob": pa.array([squeezed(x[a:b].tobytes() + y[a:b].tobytes() + least[a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents that waited, and the windows of smaller documents."""
     parts = []
     for b in right["blob"]:
-        raw = b.as_py()
+        raw = unsqueezed(b.as_py())
         m = len(raw) // 20
-        parts.append((np.frombuffer(raw, np.uint64, m), np.frombuffer(raw, np.uint32, m, 16 * m), np.frombuffer(raw, "<i8", m, 8 * m)))
+        parts.append((np.frombuffer(raw, np.uint64, m), np.frombuffer(raw, np.uint32, m, 8 * m), np.frombuffer(raw, "<i8", m, 12 * m)))
     x, y, least = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
     order = np.lexsort((y, x))
     x, y, least = x[order], y[order], least[order]
