@@ -9,7 +9,8 @@ one item; a null item_id takes part as the string "null"; repeated documents are
 benchmark hits nothing; a text of any length is scanned whole. Columns other than the named ones pass through.
 
 The windows of the test items are broadcast. Their number is checked: up to `block_windows` of them make one automaton;
-a larger benchmark is scanned in several passes, one automaton after the other, and the hits of a document are united.
+a larger benchmark is scanned in several passes, one automaton after the other, and the hits of a row are united by a key
+that is written with the texts before the first pass.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import table, text_bytes, written
 
 WIDTH = 8
 #: Windows in one automaton (about 200 bytes each).
@@ -125,21 +126,30 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.char_length("text")).alias("n"), F.count("*").alias("rows")).first()
     blocks = max(1, -(-int(size.n or 0) // max(1, 2 * block_windows)))  # a word has two characters and more with its space
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows, named = docs.select(*keep, F.col("text").alias("__text")), list(keep)
+    if blocks > 1:  # each row gets a key of its own, written once, so that all passes name it alike
+        rows, named = written(rows.withColumn("__key", F.monotonically_increasing_id())), ["__key"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*named).schema)
     out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item, r.text) for r in part.toLocalIterator()))
-        made = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(_scanner(shared, width, list(keep), _OUT), f"{fields}, {_OUT_DDL}")
+        made = rows.select(*named, "__text").mapInArrow(_scanner(shared, width, named, _OUT), f"{fields}, {_OUT_DDL}")
         out = made if out is None else out.unionByName(made)
     if blocks == 1:
         return out
-    cover = lambda runs, a, b: F.aggregate(  # noqa: E731  unites sorted runs
-        F.sort_array(F.flatten(runs)), F.array().cast(f"array<struct<{a}:long,{b}:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[b] >= x[a]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.element_at(acc, -1)[a].alias(a), F.greatest(F.element_at(acc, -1)[b], x[b]).alias(b)))).otherwise(F.array_append(acc, x)),
+    run, last = "struct<w:struct<first:long,end:long>,s:struct<start:long,end:long>>", lambda acc: F.element_at(acc, -1)
+    wider = lambda x, y, part, a: F.struct(x[part][a].alias(a), F.greatest(x[part]["end"], y[part]["end"]).alias("end")).alias(part)
+    # unites sorted runs by their words; their spans go with them
+    united = F.aggregate(
+        F.sort_array(F.flatten("runs")), F.array().cast(f"array<{run}>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["w"]["end"] >= x["w"]["first"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(wider(last(acc), x, "w", "first"), wider(last(acc), x, "s", "start")))).otherwise(F.array_append(acc, x)),
     )
-    one = out.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.collect_list("hit_words").alias("r"), F.collect_list("hit_spans").alias("s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return one.select(*keep, "n_words", F.expr("0L").alias("n_hit"), cover("r", "first", "end").alias("hit_words"), cover("s", "start", "end").alias("hit_spans"), "items").withColumn("n_hit", F.aggregate("hit_words", F.lit(0).cast("long"), lambda a, x: a + x.end - x.first))
+    pairs = F.arrays_zip(F.col("hit_words").alias("w"), F.col("hit_spans").alias("s")).cast(f"array<{run}>")
+    one = out.groupBy("__key").agg(F.max("n_words").alias("n_words"), F.collect_list(pairs).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = one.select("__key", "n_words", united.alias("runs"), "items")
+    one = one.select("__key", "n_words", F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x.w.end - x.w.first).alias("n_hit"), F.col("runs.w").alias("hit_words"), F.col("runs.s").alias("hit_spans"), "items")
+    return rows.drop("__text").join(one, "__key").drop("__key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:

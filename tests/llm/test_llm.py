@@ -400,6 +400,17 @@ def test_decontamination(spark, docs, rows, empty):
     del rng
 
 
+def test_decontamination_in_blocks(spark, docs, rows):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    items = [(k, " ".join(words(rows[k][1])[:12])) for k in range(12)] + [(50, " ".join(text.split()[:8])), (51, " ".join(text.split()[8:]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    again = [(None, rows[6][1], "en", "s2", 1), (None, text, None, None, None), (103, text, "en", "s1", 1), (103, rows[0][1], "en", "s1", 1), (7, text, "en", "s1", 1), (7, text, "en", "s1", 1)]
+    df = clashing(docs.unionByName(spark.createDataFrame(again, DDL)))
+    whole = df.select(F.struct(*df.columns).alias("__row"), "text")
+    assert key(decontaminate.find(df, bench, block_windows=100)) == key(decontaminate.find(df, bench))
+    assert key(decontaminate.find(whole, bench, block_windows=100, keep=("__row",))) == key(decontaminate.find(whole, bench, keep=("__row",)))
+
+
 # ---- 10
 
 
