@@ -10,9 +10,10 @@ only if each shares t times its size with the other, so:
    least among their first a + l, for every l. Each class takes the l with the least estimated cost: postings to read,
    and the candidates that are left (by Markov's inequality at most the postings over l), each with its price. A pair
    has to share the smaller l of the two, each at a rank that leaves room for the overlap.
-3. Links only matter for components. Pivot rounds come first, as long as they find links: in every posting list all
-   classes are held against one class of another component. Postings whose classes are in one component by then are
-   settled; the others give all pairs between components, which are counted against l and verified exactly.
+3. For components (`joined`) not all links are needed. Pivot rounds come first, as long as they find links: in every
+   posting list all classes are held against one class of another component. Postings whose classes are in one component
+   by then are settled; the others give all pairs between components, which are counted against l and verified exactly.
+   `linked` takes all pairs of classes, counted and verified alike, and gives each row its number of links.
 4. Components by label propagation with pointer jumping.
 
 No step collects a posting list or a group: a task sends a shingle once, lists meet pivots in a join that Spark can
@@ -262,9 +263,24 @@ def mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return written(now.join(open_, "token", "left_semi"))
 
 
+def close_pairs(rest: DataFrame, apart: bool) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that share enough postings to be similar; `apart`: only those with different labels."""
+    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r", "label"))) for s in "xy")
+    # at the k-th common shingle, k <= l, both have to hold the rest of the overlap from its rank on
+    rest_of = F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y")) + F.least("l_x", "l_y") - 1
+    close = (F.col("name_x") < F.col("name_y")) & ((NUM + DEN) * rest_of >= NUM * (F.col("n_x") + F.col("n_y")))
+    if apart:
+        close &= F.col("label_x") != F.col("label_y")
+    return x.join(y, "token").where(close).groupBy(F.col("name_x").alias("a"), F.col("name_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).where("c >= l").select("a", "b")
+
+
+def postings_of(classes: DataFrame) -> DataFrame:
+    return written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long").withColumn("label", F.col("name")))
+
+
 def links_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) between classes, enough of them for the components of all links; and labels to begin with."""
-    rest = written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long").withColumn("label", F.col("name")))
+    rest = postings_of(classes)
     found, labels, nodes = None, None, classes.count()
     for k in range(PIVOT_ROUNDS):
         # a list's pivot is the class first in an order of this round, which all lists share
@@ -280,17 +296,12 @@ def links_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             rest = mixed(rest, labels)
         if n <= nodes // 1000:
             break
-    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r", "label"))) for s in "xy")
-    # at the k-th common shingle, k <= l, both have to hold the rest of the overlap from its rank on
-    rest_of = F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y")) + F.least("l_x", "l_y") - 1
-    close = (F.col("name_x") < F.col("name_y")) & (F.col("label_x") != F.col("label_y")) & ((NUM + DEN) * rest_of >= NUM * (F.col("n_x") + F.col("n_y")))
-    pairs = x.join(y, "token").where(close).groupBy(F.col("name_x").alias("a"), F.col("name_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).where("c >= l").select("a", "b")
-    last = verified(pairs, classes)
+    last = verified(close_pairs(rest, apart=True), classes)
     return (last if found is None else found.unionByName(last)), labels
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _read(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n; name where a partner is possible), and their classes."""
     n = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     back = rows.mapInArrow(_send(n), "bucket int, chunk long, single binary, many binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "chunk long, bucket int, prints binary, sums binary")
@@ -298,12 +309,40 @@ def joined(docs: DataFrame) -> DataFrame:
     found = written(held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_alive(n), "doc_id long, n long, name binary, shared binary, sums binary"))
     alive = found.where("name is not null")
     classes = written(alive.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("sums").alias("sums")))
-    linked = components(*links_of(classes))
+    return found, classes
+
+
+def _known(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """name, component_id of all classes, from the labels of the linked ones."""
     labels = written(classes.select("name").join(linked, "name", "left").select("name", F.coalesce("label", "name").alias("label")))
     low = classes.select("name", "rep").join(labels, "name").groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = labels.join(low, "label").select("name", "component_id")
+    return labels.join(low, "label").select("name", "component_id")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    found, classes = _read(docs)
+    known = _known(classes, components(*links_of(classes)))
     single = found.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return single.unionByName(alive.select("doc_id", "n", "name").join(known, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    return single.unionByName(found.where("name is not null").select("doc_id", "n", "name").join(known, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: the other rows with ids whose sets are similar, equal ones included.
+
+    All pairs of similar classes are found, without pivots: a group of many differing near copies takes the square of its
+    classes. Rows with null ids have and are no links.
+    """
+    found, classes = _read(docs)
+    links = written(verified(close_pairs(postings_of(classes), apart=False), classes))
+    known = _known(classes, components(links))
+    size = written(found.where("name is not null").groupBy("name").agg(F.count("*").alias("rows")))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.sum("rows").alias("near"))
+    counts = size.join(near, "name", "left").select("name", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    single = found.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    several = found.where("name is not null").select("doc_id", F.col("n").alias("n_shingles"), "name").join(known, "name").join(counts, "name")
+    return single.unionByName(several.select("doc_id", "n_shingles", "component_id", "n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

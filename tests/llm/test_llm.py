@@ -190,6 +190,23 @@ def test_ngram_join(spark, seed):
     assert got == join_brute(data)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_ngram_links(spark, seed, empty):
+    data, rng = corpus(seed), random.Random(seed)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(90)]
+    for k in range(30):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(90)] = f"c{rng.randint(0, 5)}"
+        data.append((1000 + k, " ".join(w), "en", "s1", 1))
+    sets = sets_of(data)
+    n = [sum(k != j and None not in (a, b) and 100 * len(x & y) >= 75 * len(x | y) > 0 for j, (b, y) in enumerate(sets)) for k, (a, x) in enumerate(sets)]
+    got = ngram_join.linked(clashing(spark.createDataFrame(data, DDL).repartition(3)))
+    assert sorted(repr((r.doc_id, r.n_links)) for r in got.collect()) == sorted(repr((d, k)) for (d, *_), k in zip(data, n, strict=True))
+    assert key(got.drop("n_links")) == join_brute(data) and max(n) > 2
+    assert ngram_join.linked(empty).collect() == []
+
+
 def test_ngram_join_keeps_one(spark, docs, rows, empty):
     assert ngram_join.joined(empty).collect() == []
     left = ngram_join.keep_one(docs)
