@@ -255,6 +255,17 @@ def test_tokens_round_trip(spark, docs, rows, empty):
     assert tokens.digest(empty).collect() == []
 
 
+def test_tokens_of_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  <|endoftext|>\n b", "<|endoftext|><|endoftext|> <|endoftext|>!", "one <|endoftext", "a b c"]
+    got = sorted(tokens.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for x in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+    assert [r.start for r in got] == np.cumsum([0] + [len(x) for x in want])[:-1].tolist() and 50256 in want[0]
+
+
 def test_repair_and_random_access():
     rng = np.random.default_rng(3)
     docs = [np.append(rng.choice(np.tile([5, 6, 7, 8, 9, 9], 3), rng.integers(0, 400)), 0).astype(np.uint32) for _ in range(60)] + [np.zeros(1, np.uint32)]
