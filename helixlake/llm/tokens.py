@@ -38,8 +38,7 @@ END_ID = 0
 #: Ids in a shard; a task holds one shard at a time.
 SHARD_IDS = 1_500_000
 BLOCK = 65_536
-#: Re-Pair: rounds at most, new symbols in a round at most, least count of a pair.
-ROUNDS = 5
+#: Re-Pair: new symbols in a round at most, least count of a pair.
 RULES = 4096
 LEAST = 24
 #: Pieces that a worker remembers with their ids.
@@ -189,14 +188,12 @@ def _joined(used: np.ndarray, plain: np.ndarray, odd: np.ndarray, offsets: np.nd
     return values[np.argsort(order, kind="stable")]
 
 
-def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, offsets, rules): pairs inside documents, replaced while they are frequent. Symbol terminals + k is rule k."""
     seq, at = ids.astype(np.uint32), offsets.astype(np.int64)
     made: list[np.ndarray] = []
     base = terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         inside = np.ones(len(key), dtype=bool)
         edge = at[1:-1]
@@ -205,9 +202,13 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rounds: int = R
         rough = np.bincount(slot[inside].astype(np.int64), minlength=1 << 21)
         # a pair is as frequent as its slot at most: only the fullest slots can hold the pairs of this round
         bar = max(least, int(np.partition(rough, -rules)[-rules]))
-        likely = inside & (rough[slot.astype(np.int64)] >= bar)
-        pairs, n = np.unique(key[likely], return_counts=True)
-        pairs, n = pairs[n >= least], n[n >= least]
+        while True:
+            likely = inside & (rough[slot.astype(np.int64)] >= bar)
+            pairs, n = np.unique(key[likely], return_counts=True)
+            pairs, n = pairs[n >= least], n[n >= least]
+            if len(pairs) or bar == least:
+                break
+            bar = least  # the fullest slots may hold many rare pairs
         if not len(pairs):
             break
         pairs = np.sort(pairs[np.lexsort((pairs, -n))[:rules]])

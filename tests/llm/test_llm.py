@@ -277,6 +277,19 @@ def test_repair_and_random_access():
     assert [s.id_at(7, j) for j in range(len(docs[7]))] == docs[7].tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 60_000, 700)
+    docs = [np.concatenate([rng.integers(1, 60_000, 5), passage, np.full(k, 9), [0]]) for k in range(60)]
+    ids, at = np.concatenate(docs).astype(np.uint32), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    s = tokens.Shard(tokens.pack([*range(60)], ids, at, 65_536))
+    symbols = s.symbols(0, s.n_symbols)
+    pairs = collections.Counter(p for a, b in zip(s.first, s.first[1:]) for p in zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist()))
+    assert max(pairs.values()) < tokens.LEAST and s.lengths.max() > 500
+    back, places = s.everything()
+    assert (back == ids).all() and (places == at).all() and [s.id_at(7, j) for j in range(0, 700, 99)] == docs[7][:700:99].tolist()
+
+
 def test_encoder_odd_white_space():
     e = tokens.Encoder(tokens.default_tokenizer())
     texts = ["a  b", " a", "a ", "", None, "x  y", "a\n b", "don't stop", "<|endoftext|> a", "é è", "a b a b"]
