@@ -346,14 +346,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; all columns. Rows without id or words stay."""
-    groups = joined(docs).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(groups, docs.doc_id == F.col("__gone"), "left_anti")
-    text = F.coalesce("text", F.lit(""))
-    plain = left.where(F.col("doc_id").isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))
-    # of rows that repeat id and text one stays
-    named = left.where(F.col("doc_id").isNotNull() & text.rlike(r"[^\x20\x09-\x0D]")).withColumn("__tie", F.xxhash64(text))
-    return named.dropDuplicates(["doc_id", "__tie"]).drop("__tie").unionByName(plain)
+    """docs with one row of each component, that with the smallest id (of equal ids, by a hash of the text); all columns.
+    Rows without id or words stay. Each row is joined by a key of its own, so that equal ids do not stand for each other."""
+    rows = written(docs.withColumn("__key", F.monotonically_increasing_id()))
+    named = rows.where("doc_id is not null")
+    parts = written(joined(named.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id"))
+    order = F.struct("doc_id", F.xxhash64("text").alias("tie"), "__key")
+    first = named.select("__key", order.alias("order")).join(parts, "__key").groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.__key").alias("__key"))
+    gone = parts.select("__key").join(first, "__key", "left_anti")
+    return rows.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

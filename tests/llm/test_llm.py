@@ -216,6 +216,15 @@ def test_ngram_join_keeps_one(spark, docs, rows, empty):
     assert {i for i in ids if i is not None} == {k for k in want if k is not None} and ids.count(None) == 2 and ids.count(103) <= 1
 
 
+def test_ngram_join_keeps_rows_of_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:58], "x", "y"])
+    data = [(1, " ".join(base)), (2, near), (2, "a text of its own with nothing in common"), (5, "p " + " ".join(reversed(base))), (5, "q " + " ".join(reversed(base))), (5, "q " + " ".join(reversed(base))), (6, ""), (6, ""), (None, near)]
+    left = [(r.doc_id, r.text) for r in ngram_join.keep_one(clashing(spark.createDataFrame(data, "doc_id long, text string").repartition(3))).collect()]
+    assert sorted(map(repr, (x for x in left if x[0] != 5))) == sorted(map(repr, [data[0], data[2], data[6], data[7], data[8]]))
+    assert [x[0] for x in left].count(5) == 1
+
+
 def test_prefix_lengths():
     assert ngram_join.prefix(np.array([2] * 100, np.uint32), 100)[1] - ngram_join.prefix(np.array([2] * 100, np.uint32), 100)[0] == 25
     assert ngram_join.prefix(np.array([2] * 70, np.uint32), 100) == (0, 0)
