@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,29 @@ _WS_BYTES = np.zeros(256, dtype=bool)
 _WS_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session leaves that open: 10,000 long texts are no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixlake-")
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder in
+    local mode and an error on a cluster, whose executors would write to their own disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="helixlake-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -48,7 +65,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives the loss of any executor."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.written_to)
 
 
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
@@ -60,6 +85,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
     """Parts of a batch with about `limit` bytes of text; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(size)
+    if len(size):  # parts of like sizes, none of a few bytes
+        limit = -(-int(total[-1]) // max(1, round(int(total[-1]) / limit))) + int(size.mean())
     at = 0
     while at < len(size):
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right"))
@@ -116,7 +143,7 @@ def _powers(n: int, lane: int) -> tuple[np.ndarray, np.uint64]:
     """Powers 0 to m - 1 of the lane's step, m > n, and the inverse of power m - 1: backwards they are negative powers."""
     have = _POWERS.get(lane)
     if have is None or len(have) < n + 1:
-        size = max(n + 1, SLICE_BYTES + (1 << 16))
+        size = 1 << max(16, n.bit_length())
         have = np.full(size, _STEP[lane], dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
@@ -127,6 +154,7 @@ def _powers(n: int, lane: int) -> tuple[np.ndarray, np.uint64]:
 
 def released() -> None:
     """Gives memory that is free but held back to the system: workers live on after a task."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -134,6 +162,29 @@ def released() -> None:
         pass
 
 
+def lean(run: Callable) -> Callable:
+    """A function of batches that leaves no memory behind in its worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return task
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a worker keeps from task to task: one object, the last one that was asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word: sums of byte codes times powers, shifted to the word's start, then mixed."""
     if len(starts) == 0:

@@ -10,14 +10,19 @@ only if each shares t times its size with the other, so:
    least among their first a + l, for every l. Each class takes the l with the least estimated cost: postings to read,
    and the candidates that are left (by Markov's inequality at most the postings over l), each with its price. A pair
    has to share the smaller l of the two, each at a rank that leaves room for the overlap.
-3. For components (`joined`) not all links are needed. Pivot rounds come first, as long as they find links: in every
-   posting list all classes are held against one class of another component. Postings whose classes are in one component
-   by then are settled; the others give all pairs between components, which are counted against l and verified exactly.
-   `linked` takes all pairs of classes, counted and verified alike, and gives each row its number of links.
+3. Lists of up to CROWD classes give all their pairs, which are counted against l and verified exactly. A longer list
+   goes by a pivot p, the set with the most frequent shingles: all others are held against p alone. Two sets that are both
+   similar to p are in one component. Else, x being the one that is not, x and a partner y have to share
+   ceil(t / (1 + t) (|x| + |y|)) shingles, of which x shares |x & p| at most inside p: the rest, which is known but for |y|,
+   and |y| is no less than the least size in the list, lies outside p. So the classes of a list are dealt anew by the
+   rarest of their shingles outside p, as many as the overlap leaves open; the few that can have a partner y small enough
+   to share nothing outside p form a list of their own. These lists are treated alike, level by level, until they have no
+   more pairs than there are classes. Near misses, whose own shingles nobody shares, drop out there without being held
+   against each other. `linked` takes all pairs of classes of all lists, and gives each row its number of links.
 4. Components by label propagation with pointer jumping.
 
-No step collects a posting list or a group: a task sends a shingle once, lists meet pivots in a join that Spark can
-split, and a group of near copies is linked by its pivots.
+No step collects a posting list or a group: a task sends a shingle once, classes meet pivots in a join that Spark can
+split, and a group of near copies is linked by its pivots, in proportion to its postings.
 
 Defined results: a null or empty text, or one of white space, has an empty set, links with nothing and is a component of
 its own; a null doc_id is linked with nothing and has a null component; repeated rows with the same id are in one
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import LAST, chunks, packed, unpack
-from .common import buckets, by_bucket, mix, released, segments, table, window_hashes, word_hashes, word_spans, written
+from .common import bounded, buckets, by_bucket, forget, lean, mix, released, segments, table, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 5
 #: The similarity as a fraction.
 NUM, DEN = 3, 4
 #: Price of verifying a candidate, in postings read.
 PRICE = 4.0
-PIVOT_ROUNDS = 8
+#: Open classes of a list that are all held against the whole list; a list with more goes by its pivot.
+CROWD = 16
+#: Levels of pivots; what is crowded after them is held against each other.
+LEVELS = 8
 _LOW = np.uint64(0x7FFFFFFF)
 
 
@@ -196,16 +205,18 @@ def prefix(freq: np.ndarray, n: int) -> tuple[int, int]:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, names, sizes, least, ranks = [], [], [], [], []
+        tokens, names, sizes, least, ranks, central = [], [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             k = [len(t) for t in tokens]
-            return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "name": pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(k)), k))), "n": pa.array(np.repeat(sizes, k), pa.int64()), "l": pa.array(np.repeat(least, k), pa.int32()), "r": pa.array(np.concatenate(ranks), pa.int64())})
+            return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "name": pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(k)), k))), "n": pa.array(np.repeat(sizes, k), pa.int64()), "l": pa.array(np.repeat(least, k), pa.int32()), "r": pa.array(np.concatenate(ranks), pa.int64()), "score": pa.array(np.repeat(central, k), pa.float64())})
 
         held = 0
         for name, n, shared, freq in zip(batch.column("name").to_pylist(), batch.column("n").to_pylist(), batch.column("shared"), batch.column("sums"), strict=True):
-            count, post = prefix(np.frombuffer(freq.as_py(), np.uint32), n)
+            often = np.frombuffer(freq.as_py(), np.uint32)
+            count, post = prefix(often, n)
             if post:
+                central.append(float(often.sum(dtype=np.float64)) / n)
                 tokens.append(np.frombuffer(shared.as_py(), np.uint64, post))
                 names.append(name)
                 sizes.append(n)
@@ -214,7 +225,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += post
                 if held > 200_000:
                     yield flush()
-                    tokens, names, sizes, least, ranks, held = [], [], [], [], [], 0
+                    tokens, names, sizes, least, ranks, central, held = [], [], [], [], [], [], 0
         if tokens:
             yield flush()
 
@@ -235,7 +246,7 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose sets are similar; exact."""
     left = classes.select(F.col("name").alias("a"), "n", F.col("shared").alias("x"))
     right = classes.select(F.col("name").alias("b"), F.col("n").alias("m"), F.col("shared").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_verify, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(lean(_verify), "a binary, b binary")
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -244,68 +255,122 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     known = both.groupBy(F.col("a").alias("name")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     if start is not None:
-        known = known.join(start.withColumnRenamed("label", "had"), "name", "left").select("name", F.least("label", "had").alias("label"))
-    known = written(known)
+        known = known.join(start.withColumnRenamed("label", "had"), "name", "full").select("name", F.least("label", "had").alias("label"))
+    new = written(known)
     while True:
+        known = new.select("name", "label")
         near = both.join(known.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = known.join(near, known.name == near.a).select("name", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        step = known.join(near, known.name == near.a, "left").select("name", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = step.join(known.select(F.col("name").alias("to"), F.col("label").alias("up")), "to", "left")
-        new = written(jump.select("name", "old", F.least("to", F.coalesce("up", "to")).alias("label")))
-        known = new.select("name", "label")
+        old, new = new, written(jump.select("name", "old", F.least("to", F.coalesce("up", "to")).alias("label")))
+        forget(old)
         if new.where(F.col("old") != F.col("label")).isEmpty():
-            return known
-
-
-def mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with new labels, of shingles that classes of several components hold; the rest is settled."""
-    now = postings.drop("label").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    open_ = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    return written(now.join(open_, "token", "left_semi"))
+            forget(both)
+            return new
 
 
-def close_pairs(rest: DataFrame, apart: bool) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that share enough postings to be similar; `apart`: only those with different labels."""
-    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r", "label"))) for s in "xy")
+def close_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that share enough postings to be similar."""
+    x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "l", "r"))) for s in "xy")
     # at the k-th common shingle, k <= l, both have to hold the rest of the overlap from its rank on
     rest_of = F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y")) + F.least("l_x", "l_y") - 1
     close = (F.col("name_x") < F.col("name_y")) & ((NUM + DEN) * rest_of >= NUM * (F.col("n_x") + F.col("n_y")))
-    if apart:
-        close &= F.col("label_x") != F.col("label_y")
     return x.join(y, "token").where(close).groupBy(F.col("name_x").alias("a"), F.col("name_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("l_x", "l_y")).alias("l")).where("c >= l").select("a", "b")
 
 
+def open_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lists (chain, token); a is open, and the smaller one if both are."""
+    x = lists.where("open").select("chain", "token", F.col("name").alias("a"))
+    y = lists.select("chain", "token", F.col("name").alias("b"), "open")
+    return x.join(y, ["chain", "token"]).where((F.col("a") < F.col("b")) | (~F.col("open") & (F.col("a") != F.col("b")))).select("a", "b").distinct()
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes and a pivot of their lists: whether they are similar; the largest partner that shares nothing outside the
+    pivot; and the shingles outside the pivot that lead to the others, if no class of the lists has less than `low`."""
+    for batch in batches:
+        linked, within, tokens = [], [], []
+        for low, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("low", "n", "m")), batch.column("x"), batch.column("y"), strict=True):
+            mine = np.frombuffer(x.as_py(), np.uint64)
+            common = np.isin(mine, np.frombuffer(y.as_py(), np.uint64))
+            i = int(common.sum())
+            own = -(-NUM * n // DEN)
+            least = max(1, -(-NUM * (n + max(low, own)) // (NUM + DEN)) - i)
+            post = min(n - i - least, n - own) + 1 - (n - len(mine))
+            linked.append(DEN * i >= NUM * (n + m - i))
+            within.append((NUM + DEN) * i // NUM - n)
+            tokens.append(mine[~common][: max(post, 0)].view(np.int64))
+        at = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chain", "a", "b", "low", "n", "score")), pa.array(linked, pa.bool_()), pa.array(within, pa.int64()), lists], names=["chain", "a", "b", "low", "n", "score", "linked", "within", "tokens"])
+
+
+def against(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (chain, a, b, low, score), b a pivot; n, linked, within and tokens of a."""
+    left = classes.select(F.col("name").alias("a"), "n", F.col("shared").alias("x"))
+    right = classes.select(F.col("name").alias("b"), F.col("n").alias("m"), F.col("shared").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("chain", "a", "b", "low", "n", "score", "m", "x", "y").mapInArrow(lean(_against), "chain long, a binary, b binary, low long, n long, score double, linked boolean, within long, tokens array<long>")
+
+
+def inner_lists(seen: DataFrame) -> DataFrame:
+    """Lists of the classes that may be similar without sharing a shingle outside their pivot: of sizes within the largest
+    partner of another one that is not similar to the pivot."""
+    reach = seen.where(~F.col("linked") & (F.col("within") >= F.col("low"))).groupBy("chain", "b").agg(F.max("within").alias("most"), F.min("n").alias("smallest"))
+    open_ = ~F.col("linked") & (F.col("within") >= F.col("low"))
+    return seen.join(reach, ["chain", "b"]).where(open_ | ((F.col("n") <= F.col("most")) & (F.col("within") >= F.col("smallest")))).select(F.xxhash64("chain", "b").alias("chain"), F.lit(0).cast("long").alias("token"), F.col("a").alias("name"), "n", "score", open_.alias("open"))
+
+
 def postings_of(classes: DataFrame) -> DataFrame:
-    return written(classes.where("shared is not null").mapInArrow(_postings, "token long, name binary, n long, l int, r long").withColumn("label", F.col("name")))
+    return written(classes.where("shared is not null").mapInArrow(lean(_postings), "token long, name binary, n long, l int, r long, score double"))
+
+
+def crowds(lists: DataFrame, *key: str) -> DataFrame:
+    """Lists of two classes or more, one of them open, with the number of open ones, least size and pivot: the class whose
+    shingles are the most frequent ones."""
+    heads = lists.groupBy(*key).agg(F.count("*").alias("held"), F.count_if("open").alias("opened"), F.min("n").alias("low"), F.max(F.struct("score", "name")).alias("head")).where("held > 1 and opened > 0")
+    return written(lists.join(heads.select(*key, "opened", "low", F.col("head.name").alias("pivot")), [*key]))
 
 
 def links_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) between classes, enough of them for the components of all links; and labels to begin with."""
-    rest = postings_of(classes)
-    found, labels, nodes = None, None, classes.count()
-    for k in range(PIVOT_ROUNDS):
-        # a list's pivot is the class first in an order of this round, which all lists share
-        order = F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name", "label")
-        heads = rest.groupBy("token").agg(F.min(order).alias("pivot"))
-        pairs = rest.join(heads, "token").where(F.col("label") != F.col("pivot.label")).groupBy(F.col("name").alias("a"), F.col("pivot.name").alias("b")).agg(F.count("*").alias("c"))
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        more = written(verified(best, classes))
-        n = more.count()
-        if n:
-            found = more if found is None else written(found.unionByName(more))
-            labels = components(found, labels)
-            rest = mixed(rest, labels)
-        if n <= nodes // 1000:
+    postings = postings_of(classes)
+    lists = crowds(postings.select("*", F.lit(0).cast("long").alias("chain"), F.lit(True).alias("open")), "token")
+    forget(postings)
+    nodes, near, found = classes.count(), [], []
+    for level in range(LEVELS + 1):
+        crowded = F.col("opened") > CROWD
+        # no more pairs than classes: no pivots any more
+        if level == LEVELS or (lists.where(crowded).agg(F.sum("opened")).first()[0] or 0) <= nodes:
+            crowded = F.lit(False)
+        near.append(written((open_pairs if level else close_pairs)(lists.where(~crowded))))
+        pairs = written(lists.where(crowded & (F.col("name") != F.col("pivot"))).groupBy("chain", F.col("name").alias("a"), F.col("pivot").alias("b")).agg(F.min("low").alias("low"), F.first("score").alias("score")))
+        forget(lists)
+        if pairs.isEmpty():
+            forget(pairs)
             break
-    last = verified(close_pairs(rest, apart=True), classes)
-    return (last if found is None else found.unionByName(last)), labels
+        seen = written(against(pairs, classes))
+        forget(pairs)
+        found.append(written(seen.where("linked").select("a", "b").distinct()))
+        outer = seen.select(F.xxhash64("chain", "b").alias("chain"), F.explode("tokens").alias("token"), F.col("a").alias("name"), "n", "score", (~F.col("linked")).alias("open"))
+        lists = crowds(outer.unionByName(inner_lists(seen)), "chain", "token")
+        forget(seen)
+    labels = components(reduce(DataFrame.unionByName, found)).select("name", "label") if found else None
+    pairs = reduce(DataFrame.unionByName, near).distinct()
+    if labels is not None:
+        of = lambda side: labels.select(F.col("name").alias(side), F.col("label").alias(f"label_{side}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    last = written(verified(pairs, classes))
+    forget(*near)
+    return reduce(DataFrame.unionByName, found, last), labels
 
 
 def _read(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n; name where a partner is possible), and their classes."""
+    bounded(docs.sparkSession)
     n = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    back = rows.mapInArrow(_send(n), "bucket int, chunk long, single binary, many binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "chunk long, bucket int, prints binary, sums binary")
-    held = rows.mapInArrow(packed, "chunk long, blob binary")
+    back = rows.mapInArrow(lean(_send(n)), "bucket int, chunk long, single binary, many binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "chunk long, bucket int, prints binary, sums binary")
+    held = rows.mapInArrow(lean(packed), "chunk long, blob binary")
     found = written(held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_alive(n), "doc_id long, n long, name binary, shared binary, sums binary"))
     alive = found.where("name is not null")
     classes = written(alive.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("sums").alias("sums")))
@@ -334,7 +399,7 @@ def linked(docs: DataFrame) -> DataFrame:
     classes. Rows with null ids have and are no links.
     """
     found, classes = _read(docs)
-    links = written(verified(close_pairs(postings_of(classes), apart=False), classes))
+    links = written(verified(close_pairs(postings_of(classes)), classes))
     known = _known(classes, components(links))
     size = written(found.where("name is not null").groupBy("name").agg(F.count("*").alias("rows")))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
