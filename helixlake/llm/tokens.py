@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, released, segments, shared_dir, slices, table, text_bytes
+from .common import bounded, kept, lean, ragged, released, shared_dir, slices, table, text_bytes, word_hashes
 
 END_ID = 0
 #: Ids in a shard; a task holds one shard at a time.
@@ -41,193 +41,268 @@ BLOCK = 65_536
 #: Re-Pair: new symbols in a round at most, least count of a pair.
 RULES = 4096
 LEAST = 24
-#: Pieces that a worker remembers with their ids.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers with their ids (about 50 bytes each), and letters of such a piece at most.
+REMEMBERED = 600_000
+LONGEST = 64
 RANGE_BYTES = 16 << 20
 
 _MAGIC = b"HXTK1\0\0\0"
 
 
 def _byte_letters() -> dict[int, str]:
-    """The letters that stand for bytes in byte-level vocabularies; a line break stands for the gap between words here."""
+    """The letters that stand for bytes in byte-level vocabularies; a line break stands between words here."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [x for x in range(256) if x not in set(plain)]
-    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)} | {10: " "}
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)} | {10: "\n"}
 
 
 class Encoder:
     """Ids of whole texts, by pieces.
 
-    Texts are cut before every single space between two characters that are not white space. The tokenizer never joins
-    over such a place, so a piece gives the same ids alone as in its text. Texts with other white space at a cut are
-    encoded whole. A piece of letters with marks behind (no apostrophe) is two words to the tokenizer, the letters with
-    their space and the marks; both are remembered, and new words go to its model many at once.
+    Texts are cut before every single space or line break between two characters that are not white space. The tokenizer
+    never joins over such a place, so a piece gives the same ids alone as in its text. Texts with other white space at a cut
+    are encoded whole. Pieces are remembered by two 64-bit hashes in sorted arrays, so that no string is made of a known
+    one. Of the others, a piece of letters with marks behind (no apostrophe) is two words to the tokenizer, the letters with
+    their space and the marks, and a line break is one of its own; words go to its model at once.
     """
 
     MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.word = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # names to slots; slot 0 is empty
+        self.hash, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.slot, self.hits = np.empty(0, np.int64), np.empty(0, np.uint8)
         self.ids = np.empty(1 << 20, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)  # slot k holds ids at[k] to at[k + 1]
-
-    def keep(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(self.known)
-        while n + len(names) + 1 > len(self.at):
+        self.n = 0
+        self.fixed()
+
+    def fixed(self) -> None:
+        """Slots that are always there."""
+        self.marks: dict[str, int] = {"": int(self.listed([[]])[0])}  # slots of marks
+        self.gap = int(self.listed([[t.id for t in self.word(chr(256 + 10))]])[0])
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Slots, -1 for pieces that are not known."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self.hash) - 1)
+        good = (self.hash[at] == hashes) & (self.check[at] == checks)
+        self.hits[at[good]] = 1
+        return np.where(good, self.slot[at], -1)
+
+    def keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New slots for these ids."""
+        n = self.n
+        while n + len(counts) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         ends = self.at[n] + np.cumsum(counts)
-        while ends[-1] > len(self.ids):
+        while self.at[n] + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.at[n] : ends[-1]] = ids
-        self.at[n + 1 : n + 1 + len(names)] = ends
-        self.known.update(zip(names, range(n, n + len(names)), strict=True))
-
-    def slots(self, names: list[str], words: bool) -> np.ndarray:
-        """Where the ids of these names stand; new ones are encoded. `words`: each is one word to the tokenizer."""
-        found = list(map(self.known.get, names))
-        if None in found:
-            new = list(dict.fromkeys(n for n, f in zip(names, found, strict=True) if f is None))
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                if words:
-                    e = self.model.encode("\n".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
-                    self.keep(part, np.array(e.ids, np.uint32), np.bincount(e.word_ids, minlength=len(part)))
-                else:
-                    got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                    self.keep(part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-            found = list(map(self.known.__getitem__, names))
-        return np.array(found, dtype=np.int64)
-
-    def pieces(self, names: pa.Array, spaced: bool) -> np.ndarray:
-        """Two slots for each piece: letters and marks, or all of it and nothing."""
-        if spaced:
-            names = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string()))
-        stems = pc.utf8_rtrim(names, self.MARKS)
-        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, 1) if spaced else stems).to_numpy(zero_copy_only=False)
-        out = np.zeros((len(names), 2), np.int64)
-        yes, no = np.flatnonzero(plain), np.flatnonzero(~plain)
-        if len(yes):
-            coded = stems.take(pa.array(yes)).dictionary_encode()
-            out[yes, 0] = self.slots(coded.dictionary.to_pylist(), words=True)[coded.indices.to_numpy()]
-            marked = yes[(pc.binary_length(names).to_numpy() > pc.binary_length(stems).to_numpy())[yes]]
-            if len(marked):
-                # the marks are the last bytes of each piece
-                raw, ends = text_bytes(names.take(pa.array(marked)))
-                size = (pc.binary_length(names).to_numpy() - pc.binary_length(stems).to_numpy())[marked]
-                tails = raw[ragged(ends[1:] - size, size)]
-                coded = pa.LargeStringArray.from_buffers(len(marked), pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(tails)).dictionary_encode()
-                out[marked, 1] = self.slots(coded.dictionary.to_pylist(), words=True)[coded.indices.to_numpy()]
-        if len(no):
-            out[no, 0] = self.slots(names.take(pa.array(no)).to_pylist(), words=False)
+        self.ids[self.at[n] : self.at[n] + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(counts)] = ends
+        self.n += len(counts)
+        return np.arange(n, self.n)
+
+    def listed(self, ids: list[list[int]]) -> np.ndarray:
+        return self.keep(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def remember(self, hashes: np.ndarray, checks: np.ndarray, slots: np.ndarray) -> None:
+        every = np.concatenate([self.hash, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hash, self.check = every[order], np.concatenate([self.check, checks])[order]
+        self.slot, self.hits = np.concatenate([self.slot, slots])[order], np.concatenate([self.hits, np.zeros(len(slots), np.uint8)])[order]
+
+    def tidy(self) -> None:
+        """Between batches: nothing but remembered pieces stays; of too many, those that came back since the last time."""
+        if self.n <= REMEMBERED:
+            return
+        good = self.hits > 0 if 2 * int(self.hits.sum()) <= REMEMBERED else np.zeros(len(self.hits), bool)
+        self.hash, self.check, slot = self.hash[good], self.check[good], self.slot[good]
+        size = self.at[slot + 1] - self.at[slot]
+        ids = self.ids[ragged(self.at[slot], size)]
+        self.n, self.slot, self.hits = len(slot), np.arange(len(slot)), np.zeros(len(slot), np.uint8)
+        self.at = np.zeros(max(1 << 16, 2 * len(slot)), np.int64)
+        self.at[1 : len(slot) + 1] = np.cumsum(size)
+        self.ids = np.concatenate([ids, np.empty(1 << 20, np.uint32)])
+        self.fixed()
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of letters with their space, if any, or of marks; each is one word to the tokenizer."""
+        tokenize, letters = self.word, "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
+        return [[t.id for t in tokenize(w)] for w in letters]
+
+    def new(self, pieces: pa.Array, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Slots of pieces that are not known yet."""
+        lead = pc.utf8_slice_codeunits(pieces, 0, 1)
+        broken, led = pc.equal(lead, "\n"), pc.is_in(lead, pa.array([" ", "\n"], pa.large_string()))
+        body = pc.if_else(led, pc.utf8_slice_codeunits(pieces, 1), pieces)
+        stems = pc.utf8_rtrim(body, self.MARKS)
+        alpha = pc.utf8_is_alpha(stems)
+        whole = pc.and_not(pc.and_(alpha, pc.equal(stems, body)), broken).to_numpy(zero_copy_only=False)
+        plain, broken = alpha.to_numpy(zero_copy_only=False), broken.to_numpy(zero_copy_only=False)
+        length = pc.utf8_length(pieces).to_numpy()
+        out = np.full(len(pieces), -1)
+
+        def made(at: np.ndarray, slots: np.ndarray) -> None:
+            out[at] = slots
+            at = at[length[at] <= LONGEST]
+            self.remember(hashes[at], checks[at], out[at])
+
+        if len(at := np.flatnonzero(whole)):
+            made(at, self.listed(self.words(pieces.take(pa.array(at)).to_pylist())))
+        if len(at := np.flatnonzero(plain & ~whole)):
+            take = pa.array(at)
+            gap = pc.if_else(pc.and_not(led, pa.array(broken)), " ", "").cast(pa.large_string()).take(take)
+            stem = pc.binary_join_element_wise(gap, stems.take(take), pa.scalar("", pa.large_string()))
+            key, check = self.keys(stem)
+            known = self.find(key, check)
+            if len(gone := np.flatnonzero(known < 0)):
+                first = gone[np.unique(key[gone], return_index=True)[1]]
+                slots = self.listed(self.words(stem.take(pa.array(first)).to_pylist()))
+                brief = pc.utf8_length(stem).to_numpy()[first] <= LONGEST
+                self.remember(key[first[brief]], check[first[brief]], slots[brief])
+                known = self.find(key, check)
+                for j in np.flatnonzero(known < 0).tolist():  # long ones
+                    known[j] = self.listed(self.words([stem[j].as_py()]))[0]
+            # the marks are the last bytes of each piece
+            raw, ends = text_bytes(body.take(take))
+            size = pc.binary_length(body).to_numpy()[at] - pc.binary_length(stems).to_numpy()[at]
+            coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(raw[ragged(ends[1:] - size, size)])).dictionary_encode()
+            for tail in [t for t in coded.dictionary.to_pylist() if t not in self.marks]:
+                self.marks[tail] = int(self.listed(self.words([tail]))[0])
+            tails = np.array([self.marks[t] for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            parts = np.stack([np.where(broken[at], self.gap, self.marks[""]), known, tails], axis=1)
+            size = self.at[parts + 1] - self.at[parts]
+            made(at, self.keep(self.ids[ragged(self.at[parts].reshape(-1), size.reshape(-1))], size.sum(axis=1)))
+        if len(at := np.flatnonzero(~plain)):
+            made(at, self.listed([e.ids for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(at)).to_pylist(), add_special_tokens=False)]))
         return out
 
+    @staticmethod
+    def keys(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each piece."""
+        raw, offsets = text_bytes(pieces)
+        return tuple(word_hashes(raw, offsets[:-1], offsets[1:], lane=lane) for lane in range(2))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; and the n+1 offsets."""
-        if len(self.known) > REMEMBERED:
-            self.reset()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
+        self.tidy()
+        raw, offsets = text_bytes(texts)
+        # a text begins a piece, and so do spaces and line breaks
+        cut = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
+        first = np.searchsorted(cut, offsets[:-1]) + np.arange(len(texts))
+        begin = np.empty(len(cut) + len(texts) + 1, np.int64)
+        of_text = np.zeros(len(begin), dtype=bool)
+        of_text[first] = True
+        of_text[-1] = True
+        begin[of_text], begin[~of_text] = offsets, cut
+        first = np.append(first, len(begin) - 1)
+        coded = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(raw)).dictionary_encode()
         pieces, index = coded.dictionary, coded.indices.to_numpy()
-        # white space at either end, in the widest sense, or nothing at all
-        bare = pc.or_(pc.equal(pieces, ""), pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces)).to_numpy(zero_copy_only=False)
-        doc = segments(offsets)
-        first = np.zeros(len(index), dtype=bool)
-        first[offsets[:-1]] = True
-        odd = np.bincount(doc[bare[index]], minlength=len(texts)) > 0
-        # a piece is looked up with its space, the first of a text without
-        plain = ~odd[doc]
-        entry = np.zeros((2, len(pieces)), np.int64)
-        slots, n = [np.zeros((1, 2), np.int64)], 1  # entry 0 is empty
-        for row, chosen in ((0, plain & ~first), (1, plain & first)):
-            seen = np.zeros(len(pieces), dtype=bool)
-            seen[index[chosen]] = True
-            need = np.flatnonzero(seen)
-            if len(need):
-                slots.append(self.pieces(pieces.take(pa.array(need)), spaced=row == 0))
-                entry[row, need] = np.arange(n, n + len(need))
-                n += len(need)
-        whole = self.slots([texts[int(k)].as_py() for k in np.flatnonzero(odd)], words=False)
-        slots.append(np.stack([whole, np.zeros_like(whole)], axis=1))
-        # ids of the entries of this batch, each in one run
-        pairs = np.concatenate(slots).reshape(-1)
-        size = self.at[pairs + 1] - self.at[pairs]
-        flat = self.ids[ragged(self.at[pairs], size)]
-        at = np.concatenate(([0], np.cumsum(size)))[::2]
-        # entries in document order, and -1 for the end ids
-        used = np.where(first, entry[1][index], entry[0][index])
-        count = np.where(odd, 1, np.diff(offsets)) + 1
-        start = np.concatenate(([0], np.cumsum(count)))
-        order = np.full(start[-1], -1, np.int64)
-        order[ragged(start[:-1], count - 1)] = _joined(used, plain, odd, offsets, np.arange(n, n + len(whole)))
-        length = np.where(order < 0, 1, at[order + 1] - at[order])
-        ids = np.full(int(length.sum()), END_ID, np.uint32)
-        put = np.concatenate(([0], np.cumsum(length)))
-        real = order >= 0
-        ids[ragged(put[:-1][real], length[real])] = flat[ragged(at[order[real]], length[real])]
-        return ids, put[start]
-
-
-def _joined(used: np.ndarray, plain: np.ndarray, odd: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Entries in document order: the pieces of plain texts and one entry for each odd text."""
-    if not odd.any():
-        return used
-    order = np.concatenate([np.flatnonzero(plain), offsets[:-1][odd]])
-    values = np.concatenate([used[plain], whole])
-    return values[np.argsort(order, kind="stable")]
+        # nothing at all, or more white space, in the widest sense, at either end
+        lead = pc.is_in(pc.utf8_slice_codeunits(pieces, 0, 1), pa.array([" ", "\n"], pa.large_string())).to_numpy(zero_copy_only=False)
+        inner = pc.binary_length(pc.utf8_trim_whitespace(pieces)).to_numpy()
+        bare = (inner == 0) | (inner + lead < pc.binary_length(pieces).to_numpy())
+        bad = np.concatenate(([0], np.cumsum(bare[index])))
+        odd = bad[first[1:]] > bad[first[:-1]]
+        count = np.diff(first)
+        plain = np.repeat(~odd, count)
+        need = np.zeros(len(pieces), dtype=bool)
+        need[index[plain]] = True
+        need = np.flatnonzero(need)
+        slot = np.zeros(len(pieces), np.int64)
+        if len(need):
+            some = pieces.take(pa.array(need))
+            key, check = self.keys(some)
+            found = self.find(key, check)
+            if len(gone := np.flatnonzero(found < 0)):
+                found[gone] = self.new(some.take(pa.array(gone)), key[gone], check[gone])
+            slot[need] = found
+        used = slot[index]
+        if odd.any():
+            whole = self.listed([e.ids for e in self.tokenizer.encode_batch_fast([texts[int(k)].as_py() or "" for k in np.flatnonzero(odd)], add_special_tokens=False)])
+            order = np.argsort(np.concatenate([np.flatnonzero(plain), first[:-1][odd]]), kind="stable")
+            used, count = np.concatenate([used[plain], whole])[order], np.where(odd, 1, count)
+        # the ids of all entries in one run, and the end id behind each text
+        start = self.at[used]
+        size = self.at[used + 1] - start
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ends = upto[np.cumsum(count)] + np.arange(len(texts))
+        ids = np.full(int(upto[-1]) + len(texts), END_ID, np.uint32)
+        real = np.ones(len(ids), dtype=bool)
+        real[ends] = False
+        ids[real] = self.ids[ragged(start, size)]
+        return ids, np.concatenate(([0], ends + 1))
 
 
 def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, offsets, rules): pairs inside documents, replaced while they are frequent. Symbol terminals + k is rule k."""
+    """(symbols, offsets, rules): pairs inside documents, replaced while they are frequent. Symbol terminals + k is rule k.
+
+    A round replaces every place of its pairs or takes a neighbour away; the counts of other pairs only fall. So once a round
+    has taken all frequent pairs, the next one looks at places with a new symbol alone.
+    """
     seq, at = ids.astype(np.uint32), offsets.astype(np.int64)
     made: list[np.ndarray] = []
     base = terminals
-    while len(seq) >= 2:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = np.ones(len(key), dtype=bool)
-        edge = at[1:-1]
-        inside[edge[(edge > 0) & (edge <= len(key))] - 1] = False
-        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
-        rough = np.bincount(slot[inside].astype(np.int64), minlength=1 << 21)
-        # a pair is as frequent as its slot at most: only the fullest slots can hold the pairs of this round
-        bar = max(least, int(np.partition(rough, -rules)[-rules]))
-        while True:
-            likely = inside & (rough[slot.astype(np.int64)] >= bar)
-            pairs, n = np.unique(key[likely], return_counts=True)
-            pairs, n = pairs[n >= least], n[n >= least]
-            if len(pairs) or bar == least:
-                break
-            bar = least  # the fullest slots may hold many rare pairs
+    last = np.zeros(len(seq), dtype=bool)  # places that end their document
+    last[at[at > 0] - 1] = True
+    where = np.flatnonzero(~last)
+    while len(where):
+        key = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
+        bits = min(21, max(8, len(where).bit_length()))
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        # a pair is as frequent as its slot at most; in full slots one pair is counted by slot, others by their names
+        full = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        where, key, slot = where[full], key[full], slot[full]
+        chosen = np.zeros(1 << bits, np.uint64)
+        chosen[slot] = key
+        own = chosen[slot] == key
+        count = np.bincount(slot[own], minlength=1 << bits)
+        others, other_count = np.unique(key[~own], return_counts=True)
+        often = np.flatnonzero(count >= least)
+        pairs = np.concatenate([chosen[often], others[other_count >= least]])
         if not len(pairs):
             break
-        pairs = np.sort(pairs[np.lexsort((pairs, -n))[:rules]])
-        where = np.flatnonzero(likely)
-        found = np.minimum(np.searchsorted(pairs, key[where]), len(pairs) - 1)
-        hit = pairs[found] == key[where]
-        where, found = where[hit], found[hit]
+        times = np.concatenate([count[often], other_count[other_count >= least]])
+        every = len(pairs) <= rules
+        pairs = np.sort(pairs if every else pairs[np.lexsort((pairs, -times))[:rules]])
+        rule_of = np.full(1 << bits, -1, np.int64)
+        mine = np.minimum(np.searchsorted(pairs, chosen[often]), len(pairs) - 1)
+        rule_of[often] = np.where(pairs[mine] == chosen[often], mine, -1)
+        rule = np.where(own, rule_of[slot], -1)
+        if len(others):
+            mine = np.minimum(np.searchsorted(pairs, key[~own]), len(pairs) - 1)
+            rule[~own] = np.where(pairs[mine] == key[~own], mine, -1)
+        hit = rule >= 0
+        where, rule = where[hit], rule[hit]
         # of overlapping places the 1st, 3rd, ... of each chain
-        chain = np.concatenate(([True], np.diff(where) > 1))
-        head = np.flatnonzero(chain)[np.cumsum(chain) - 1]
+        begin = np.concatenate(([True], np.diff(where) > 1))
+        head = np.flatnonzero(begin)[np.cumsum(begin) - 1]
         take = (np.arange(len(where)) - head) % 2 == 0
-        where, found = where[take], found[take]
-        seq[where] = base + found
+        where, rule = where[take], rule[take]
+        seq[where] = base + rule
+        last[where] = last[where + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[where + 1] = False
-        at = np.concatenate(([0], np.cumsum(keep)))[at]
-        seq = seq[keep]
+        seq, last = seq[keep], last[keep]
+        at = at - np.searchsorted(where + 1, at)
         made.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         base += len(pairs)
+        if every:
+            new = where - np.arange(len(where))
+            look = np.zeros(len(seq) + 1, dtype=bool)
+            look[new] = look[new - 1] = True  # -1 is the place behind the end
+            where = np.flatnonzero(look[:-1] & ~last)
+        else:
+            where = np.flatnonzero(~last)
     return seq, at, np.concatenate(made) if made else np.empty((0, 2), np.uint32)
 
 
@@ -312,16 +387,39 @@ class Shard:
     def everything(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n+1 offsets of the documents."""
         symbols = self.symbols(0, self.n_symbols)
-        at = np.concatenate(([0], np.cumsum(self.size(symbols))))
-        return self.expand(symbols), at[self.first]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        start, flat = self.expansions()
+        size = self.size(symbols)
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(int(at[-1]), np.uint32)
+        rule = symbols >= self.terminals
+        out[at[:-1][~rule]] = symbols[~rule]
+        out[ragged(at[:-1][rule], size[rule])] = flat[ragged(start[symbols[rule].astype(np.int64) - self.terminals], size[rule])]
+        return out, at[self.first]
+
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each rule begin, and the ids of all rules."""
+        start = np.cumsum(self.lengths) - self.lengths
+        flat = np.empty(int(self.lengths.sum()), np.uint32)
+        todo, ready = np.arange(len(self.rules)), np.zeros(len(self.rules), dtype=bool)
+        simple = self.rules < self.terminals
+        index = np.where(simple, 0, self.rules.astype(np.int64) - self.terminals)
+        while len(todo):
+            now = todo[(simple[todo] | ready[index[todo]]).all(axis=1)]
+            put = start[now]
+            for side in range(2):
+                one, many = simple[now, side], now[~simple[now, side]]
+                flat[put[one]] = self.rules[now[one], side]
+                size = self.lengths[index[many, side]]
+                flat[ragged(put[~one], size)] = flat[ragged(start[index[many, side]], size)]
+                put = put + np.where(one, 1, self.lengths[index[now, side]])
+            ready[now] = True
+            todo = todo[~ready[todo]]
+        return start, flat
 
 
 def _write(path: str, terminals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encoder = kept(("tokenizer", path), lambda: Encoder(path))
         keys: list[int | None] = []
         parts: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -354,11 +452,12 @@ def _write(path: str, terminals: int):
 def write(docs: DataFrame, tokenizer: str, path: str, terminals: int = 65_536) -> None:
     """Shards of docs (doc_id, text) at `path`, a Parquet table (shard, n_ids, payload); shards are numbered in id order."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(-(-total // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    ordered.select("doc_id", "text").mapInArrow(_write(tokenizer, terminals), "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(lean(_write(tokenizer, terminals)), "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +476,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards at `path`."""
     files = spark.read.schema("shard long, n_ids long, payload binary").parquet(path)
     begins = files.select("shard", "n_ids").select("shard", (F.sum("n_ids").over(W.orderBy("shard")) - F.col("n_ids")).alias("begin"))
-    docs = files.select("shard", "payload").mapInArrow(_read, "shard long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    docs = files.select("shard", "payload").mapInArrow(lean(_read), "shard long, doc_id long, before long, n_tokens long, ids_crc32 long")
     return docs.join(begins, "shard").select("doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
