@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, written
+from .common import bounded, kept, lean, table, text_bytes, written
 
 WIDTH = 8
 #: Windows in one automaton (about 200 bytes each).
@@ -43,13 +43,10 @@ def item_windows(text: str | None, width: int = WIDTH) -> list[str]:
     return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-_BUILT: dict[str, tuple[ahocorasick.Automaton, list]] = {}
-
-
 def automaton(items: list[tuple[str, str]], width: int) -> tuple[ahocorasick.Automaton, list[tuple[int, tuple[str, ...]]]]:
     """Built once in each worker: windows between spaces, and for each window its number of words and its items."""
-    key = hashlib.sha256(repr((items, width)).encode()).hexdigest()
-    if key not in _BUILT:
+
+    def build() -> tuple[ahocorasick.Automaton, list]:
         owners: dict[str, set[str]] = {}
         for item, text in items:
             for w in item_windows(text, width):
@@ -60,9 +57,9 @@ def automaton(items: list[tuple[str, str]], width: int) -> tuple[ahocorasick.Aut
             values.append((w.count(" ") + 1, tuple(sorted(ids))))
         if values:
             made.make_automaton()
-        _BUILT.clear()
-        _BUILT[key] = made, values
-    return _BUILT[key]
+        return made, values
+
+    return kept(("automaton", hashlib.sha256(repr((items, width)).encode()).hexdigest()), build)
 
 
 def scan(text: str | None, made: ahocorasick.Automaton, values: list) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -123,6 +120,7 @@ _OUT_DDL = "n_words long, n_hit long, hit_words array<struct<first:long,end:long
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of docs, then n_words, n_hit, hit_words, hit_spans, items."""
+    bounded(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.char_length("text")).alias("n"), F.count("*").alias("rows")).first()
     blocks = max(1, -(-int(size.n or 0) // max(1, 2 * block_windows)))  # a word has two characters and more with its space
@@ -134,7 +132,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item, r.text) for r in part.toLocalIterator()))
-        made = rows.select(*named, "__text").mapInArrow(_scanner(shared, width, named, _OUT), f"{fields}, {_OUT_DDL}")
+        made = rows.select(*named, "__text").mapInArrow(lean(_scanner(shared, width, named, _OUT)), f"{fields}, {_OUT_DDL}")
         out = made if out is None else out.unionByName(made)
     if blocks == 1:
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, small, table, text_bytes, word_spans, written
+from .common import bounded, lean, mix, small, table, text_bytes, word_spans, written
 
 BLOCK_WORDS = 64
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -120,6 +120,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """(rows, pieces). rows: doc_id, tie, size, src, start, source_size, target. pieces: src, start, shard, slot, epoch,
     first, end (words of the document that this slot takes)."""
     spark = docs.sparkSession
+    bounded(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(text).alias("tie")))
     found = small(base.groupBy("source").agg(F.sum("size").alias("size")), MAX_SOURCES, "source")
@@ -140,7 +141,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rows = known.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(begins, ["src", "part"]).select("doc_id", "tie", "size", "src", (F.col("begin") + F.col("before")).alias("start"), "source_size", "target")
     rows = written(rows)
     cut = rows.where("size > 0").select("src", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    drawn = spark.createDataFrame(plan, "shard int, src int, first long, end long, place long, blocks long, slots long, last long").repartition(max(8, min(len(plan), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_slots(seed, block), "src int, block long, epoch int, shard int, slot long, words long")
+    drawn = spark.createDataFrame(plan, "shard int, src int, first long, end long, place long, blocks long, slots long, last long").repartition(max(8, min(len(plan), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(lean(_slots(seed, block)), "src int, block long, epoch int, shard int, slot long, words long")
     joined = cut.join(drawn, ["src", "block"])
     begin = F.col("block") * block
     pieces = joined.select("src", "start", "shard", "slot", "epoch", (F.greatest(F.col("start"), begin) - F.col("start")).alias("first"), (F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.col("start")).alias("end"))
@@ -185,7 +186,7 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     both = mine.join(taken, mine["__id"].eqNullSafe(taken["__id"]) & (mine["__tie"] == taken["__tie"]) & (mine["__copy"] == taken["__copy"]))
     cut = both.select("__row", "__text", F.col("size").alias("__size"), F.col("runs").alias("__runs"))
     row = docs.select(F.struct(*docs.columns).alias("__row")).schema["__row"].dataType.simpleString()
-    made = cut.mapInArrow(_texts, f"__row {row}, __new string")
+    made = cut.mapInArrow(lean(_texts), f"__row {row}, __new string")
     new = {"text": F.col("__new"), "n_chars": F.char_length("__new").cast("long")}
     return made.select(*(new[c].alias(c) if c in new else F.col("__row").getField(c).alias(c) for c in docs.columns))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import LAST, chunks, pack, packed, squeezed, unpack, unsqueezed
-from .common import buckets, by_bucket, mix, ragged, segments, table, window_hashes, word_hashes, word_spans, written
+from .common import bounded, buckets, by_bucket, lean, mix, ragged, segments, table, window_hashes, word_hashes, word_spans, written
 
 WIDTH = 13
 ANCHOR = 8
@@ -315,11 +315,12 @@ def _remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (runs of removed words)."""
+    bounded(docs.sparkSession)
     n = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = rows.mapInArrow(_anchors(n), "bucket int, chunk long, prints binary")
+    sent = rows.mapInArrow(lean(_anchors(n)), "bucket int, chunk long, prints binary")
     back = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, prints binary")
-    held = rows.mapInArrow(packed, "chunk long, blob binary")
+    held = rows.mapInArrow(lean(packed), "chunk long, blob binary")
     middle = written(held.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_verify(n), f"{_RESULT}, bucket int, chunk long, blob binary"))
     result = [f.name for f in middle.schema][:5]
     done = middle.where("bucket is null").select(*result)

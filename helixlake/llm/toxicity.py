@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, released, slices, table, written
+from .common import bounded, fold, kept, labelled_sample, lean, slices, table, written
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms of the lexicon, at most.
 SAMPLE = 20_000
@@ -189,7 +189,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, float]]:
     total = F.col("bad") + F.col("good")
     share = F.col("bad") / total
     g = 2 * (F.col("bad") * F.log(share / rate) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - rate))).otherwise(0.0))
-    counts = sample.mapInArrow(_term_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.mapInArrow(lean(_term_counts), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rows = counts.where((F.col("bad") > 3) & (share >= 0.5)).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(TERMS).collect()
     out = []
     for r in sorted(rows, key=lambda r: r.term):
@@ -213,15 +213,11 @@ def context(words: list[str], k: int) -> tuple[float, bool]:
 
 
 FEATURES = ("exact", "near", "quoted", "share", "terms", "evidence", "strongest")
-_LEXICA: dict[tuple[str, ...], Lexicon] = {}
 
 
 def features(column: pa.Array, lexicon: list[tuple[str, float]]) -> np.ndarray:
     key = tuple(sorted(t for t, _ in lexicon))
-    if key not in _LEXICA:
-        _LEXICA.clear()
-        _LEXICA[key] = Lexicon(list(key))
-    lex, odds = _LEXICA[key], [o for _, o in sorted(lexicon)]
+    lex, odds = kept(("lexicon", *key), lambda: Lexicon(list(key))), [o for _, o in sorted(lexicon)]
     out = np.zeros((len(column), len(FEATURES)))
     lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
     codes = lists.flatten().dictionary_encode()
@@ -268,6 +264,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
 
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> dict:
     """Terms and weights."""
+    bounded(docs.sparkSession)
     rows = written(labelled_sample(docs, labels, label, train, sample))
     terms = lexicon(rows)
     if not terms:
@@ -278,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, label
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict({"label": part.column("label"), "x": pa.array(list(features(part.column("text"), terms)), pa.list_(pa.float64()))})
 
-    found = rows.select("label", "text").mapInArrow(run, "label int, x array<double>").groupBy("x", "label").agg(F.count("*").alias("n")).collect()
+    found = rows.select("label", "text").mapInArrow(lean(run), "label int, x array<double>").groupBy("x", "label").agg(F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r.x, r.label))
     x, y = np.repeat([r.x for r in found], [r.n for r in found], axis=0), np.repeat([r.label == 1 for r in found], [r.n for r in found]).astype(float)
     return {"terms": terms, "weights": logistic(x, y).tolist()}
@@ -298,10 +295,10 @@ def scored(docs: DataFrame, model: dict, keep: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(keep), pa.array(score(part.column("text"), model))], names=[keep, "score"])
-        released()
 
     kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, score double")
+    bounded(docs.sparkSession)
+    return docs.select(keep, "text").mapInArrow(lean(run), f"{keep} {kind}, score double")
 
 
 def clean(docs: DataFrame, model: dict) -> DataFrame:
