@@ -43,23 +43,27 @@ def read_matrix(text: str, gap: int = -1) -> Scoring:
     return Scoring(letters, [rows[c] for c in letters], gap)
 
 
-def _fill(a: str, b: str, scoring: Scoring, local: bool) -> np.ndarray:
-    """Scores of all prefixes, by rows. The dependence along a row is a running maximum of score minus the gaps so far."""
-    x, y = scoring.encode(a), scoring.encode(b)
-    m, gap = len(y), scoring.gap
+def _fill_all(x: np.ndarray, y: np.ndarray, scoring: Scoring, local: bool) -> np.ndarray:
+    """Scores of all prefixes of pairs of equal lengths (codes, a pair a row), by rows of the grids. The dependence along a
+    row is a running maximum of score minus the gaps so far."""
+    k, m, gap = len(x), y.shape[1], scoring.gap
     slope = gap * np.arange(m + 1)
-    out = np.empty((len(x) + 1, m + 1), np.int64)
-    out[0] = 0 if local else slope
-    for i, c in enumerate(x, 1):
-        best = np.empty(m + 1, np.int64)
-        best[0] = 0 if local else gap * i
-        best[1:] = np.maximum(out[i - 1, :-1] + scoring.table[c, y], out[i - 1, 1:] + gap)
+    out = np.empty((k, x.shape[1] + 1, m + 1), np.int64)
+    out[:, 0] = 0 if local else slope
+    best = np.empty((k, m + 1), np.int64)
+    for i in range(1, x.shape[1] + 1):
+        best[:, 0] = 0 if local else gap * i
+        np.maximum(out[:, i - 1, :-1] + scoring.table[x[:, i - 1, None], y], out[:, i - 1, 1:] + gap, out=best[:, 1:])
         if local:
             np.maximum(best, 0, out=best)
-        out[i] = np.maximum.accumulate(best - slope) + slope
+        out[:, i] = np.maximum.accumulate(best - slope, axis=1) + slope
     return out
 
 
+def _fill(a: str, b: str, scoring: Scoring, local: bool) -> np.ndarray:
+    return _fill_all(scoring.encode(a)[None], scoring.encode(b)[None], scoring, local)[0]
+
+
 def _trace(a: str, b: str, scoring: Scoring, grid: np.ndarray, i: int, j: int, local: bool) -> tuple[str, str, int, int]:
     """Back from (i, j): diagonal before up before left. Stops at an edge, or at a score of 0 when local."""
     top, low = [], []
@@ -84,6 +88,10 @@ def needleman_wunsch(a: str, b: str, scoring: Scoring | None = None, full: bool
     """Global score and alignment. Without `full` the strings begin where one sequence is used up."""
     scoring = scoring or Scoring()
     grid = _fill(a, b, scoring, local=False)
+    return _global(a, b, scoring, grid, full)
+
+
+def _global(a: str, b: str, scoring: Scoring, grid: np.ndarray, full: bool = False) -> tuple[int, str, str]:
     top, low, i, j = _trace(a, b, scoring, grid, len(a), len(b), local=False)
     if full:
         top, low = a[:i] + "-" * j + top, "-" * i + b[:j] + low
@@ -93,7 +101,10 @@ def needleman_wunsch(a: str, b: str, scoring: Scoring | None = None, full: bool
 def smith_waterman(a: str, b: str, scoring: Scoring | None = None) -> tuple[int, str, str]:
     """Local score and alignment; of equal maxima the first by rows."""
     scoring = scoring or Scoring()
-    grid = _fill(a, b, scoring, local=True)
+    return _local(a, b, scoring, _fill(a, b, scoring, local=True))
+
+
+def _local(a: str, b: str, scoring: Scoring, grid: np.ndarray) -> tuple[int, str, str]:
     i, j = np.unravel_index(int(np.argmax(grid)), grid.shape)
     top, low, _, _ = _trace(a, b, scoring, grid, int(i), int(j), local=True)
     return int(grid[i, j]), top, low
@@ -104,20 +115,31 @@ def local_score(a: str, b: str, scoring: Scoring | None = None) -> int:
 
 
 _RESULT = "score int, a string, b string, error string"
+#: Grid cells that are filled at once.
+_CELLS = 1 << 22
 
 
-def _column(kernel, scoring: Scoring | None, **kw):
+def _column(trace, scoring: Scoring | None, local: bool, **kw):
+    scoring = scoring or Scoring()
+
     @F.pandas_udf(_RESULT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
+        rows: list[tuple] = [(None, None, None, None)] * len(a)
+        alike: dict[tuple[int, int], list[tuple]] = {}
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
             if x is None or y is None:
-                rows.append((None, None, None, None))
                 continue
             try:
-                rows.append((*kernel(x, y, scoring, **kw), None))
+                alike.setdefault((len(x), len(y)), []).append((k, x, y, scoring.encode(x), scoring.encode(y)))
             except ValueError as e:
-                rows.append((None, None, None, str(e)))
+                rows[k] = (None, None, None, str(e))
+        for (n, m), pairs in alike.items():
+            step = max(1, _CELLS // ((n + 1) * (m + 1)))
+            for at in range(0, len(pairs), step):
+                part = pairs[at : at + step]
+                grids = _fill_all(np.stack([p[3] for p in part]), np.stack([p[4] for p in part]), scoring, local)
+                for (k, x, y, _, _), grid in zip(part, grids, strict=True):
+                    rows[k] = (*trace(x, y, scoring, grid, **kw), None)
         return pd.DataFrame(rows, columns=["score", "a", "b", "error"]).astype({"score": "Int32"})
 
     return run
@@ -125,12 +147,12 @@ def _column(kernel, scoring: Scoring | None, **kw):
 
 def needleman_wunsch_column(scoring: Scoring | None = None, full: bool = False):
     """f(a, b) -> struct of score, a, b, error."""
-    return _column(needleman_wunsch, scoring, full=full)
+    return _column(_global, scoring, False, full=full)
 
 
 def smith_waterman_column(scoring: Scoring | None = None):
     """f(a, b) -> struct of score, a, b, error."""
-    return _column(smith_waterman, scoring)
+    return _column(_local, scoring, True)
 
 
 def sketch_similarity(a: list[int], b: list[int]) -> float:

@@ -231,13 +231,20 @@ def decode_flag(flag: Col) -> Column:
 
 
 def least_rotation(s: Col) -> Column:
-    """Smallest rotation; quadratic, for sequences of some thousand letters (seqtools.least_rotation is linear)."""
+    """Smallest rotation by built-in functions; quadratic, for short sequences (codec.least_rotation_column is linear)."""
+    # the array binds the doubled sequence, which the rotations are cut from, to a name
+    twice = lambda d: F.array_min(F.transform(F.sequence(F.lit(1), (F.length(d) / 2).cast("int")), lambda i: F.substring(d, i, (F.length(d) / 2).cast("int"))))
     x = _c(s)
-    n = F.length(x)
-    return F.when(n > 0, F.array_min(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, i, n), F.substring(x, F.lit(1), i - 1))))).otherwise(x)
+    return F.when(F.length(x) > 0, F.get(F.transform(F.array(F.concat(x, x)), twice), F.lit(0))).otherwise(x)
+
+
+def _linear_rotation(s: Column) -> Column:
+    from .codec import least_rotation_column
+
+    return least_rotation_column(s)
 
 
-def seqhash_bytes(s: Col, kind: str = "DNA", circular: bool = False, double: bool = False, rotate=least_rotation) -> Column:
+def seqhash_bytes(s: Col, kind: str = "DNA", circular: bool = False, double: bool = False, rotate=_linear_rotation) -> Column:
     """16 bytes: flag and the first 15 bytes of SHA-256 of the canonical form; an error for letters that the kind lacks."""
     if kind not in ("DNA", "RNA", "PROTEIN"):
         raise ValueError(f"Only sequenceTypes of DNA, RNA, or PROTEIN allowed. Got sequenceType: {kind}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder in
+    local mode and an error on a cluster, whose executors would write to their own disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="helixlake-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ source_file and ordinal), maxLineSize (longest line).
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import itertools
 import re
@@ -248,22 +249,26 @@ class _Batch(DataSourceReader):
         return self.read_.rows(partition) if partition.path else iter(())
 
 
+def _mark(path: str, time: int) -> str:
+    return hashlib.blake2b(f"{time} {path}".encode(), digest_size=8).hexdigest()
+
+
 class _Stream(DataSourceStreamReader):
-    """New files by the time they were written; a batch takes all that came since the last one."""
+    """Files that were not there before. A batch takes all of them, whatever their time says: the offset holds a mark of 16
+    letters for each file that was seen, so that a file with an older time, as copies have, is read as well."""
 
     def __init__(self, read: _Read):
         self.read_ = read
 
     def initialOffset(self) -> dict:
-        return {"time": -1, "path": ""}
+        return {"seen": ""}
 
     def latestOffset(self) -> dict:
-        last = max(((t, p) for p, _, t in files(self.read_.path)), default=(-1, ""))
-        return {"time": last[0], "path": last[1]}
+        return {"seen": "".join(sorted(_mark(p, t) for p, _, t in files(self.read_.path)))}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return [p for path, size, t in files(self.read_.path) if low < (t, path) <= high for p in self.read_.cut(path, size)]
+        old, new = ({x["seen"][k : k + 16] for k in range(0, len(x["seen"]), 16)} for x in (start, end))
+        return [p for path, size, t in files(self.read_.path) if _mark(path, t) in new - old for p in self.read_.cut(path, size)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         return self.read_.rows(partition)

@@ -1,7 +1,8 @@
 """Stages of a sequencing pipeline. Each takes and returns a DataFrame of reads, batch or streaming.
 
 A stream of reads is spark.readStream.format("fastq").load(folder). An error in a stage fails the query; nothing ends
-silently. Back-pressure is maxFilesPerTrigger or the size of the files; a query is stopped by query.stop().
+silently. A batch takes all new files, so back-pressure is
+the size and number of files that arrive; a query is stopped by query.stop().
 """
 
 from __future__ import annotations

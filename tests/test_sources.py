@@ -175,3 +175,24 @@ def test_xml_and_csv(spark, tmp_path):
     assert row.accession == ["P0C9F0"] and row.sequence["_VALUE"] == "MRT" and row.ev == [1, 2] and str(row["_created"]) == "2009-05-05"
     (tmp_path / "b.csv").write_text("A1,ATG,GGC\nA2,ATT\nA3,ATG,CCC\n")
     assert [r["name"] for r in native.read_dual_barcodes(spark, str(tmp_path / "b.csv")).collect()] == ["A1", "A3"]
+
+
+def test_stream_reads_late_files(spark, tmp_path):
+    """A file that arrives with an older time than those before it is read, and none twice."""
+    import os
+
+    register(spark)
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def run() -> list[str]:
+        q = spark.readStream.format("fasta").load(str(folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.identifier for r in spark.read.parquet(out).collect())
+
+    (folder / "b.fasta").write_text(">b\nATG\n")
+    assert run() == ["b"]
+    (folder / "a.fasta").write_text(">a\nATG\n")
+    os.utime(folder / "a.fasta", (1, 1))
+    assert run() == ["a", "b"]
+    assert run() == ["a", "b"]
