@@ -252,7 +252,6 @@ def test_tokens_round_trip(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     got = sorted(tokens.digest(clashing(docs)).collect(), key=lambda r: r.start)
     want = collections.Counter()
     for d, text, *_ in rows:
