@@ -34,6 +34,8 @@ MAX_SOURCES = 100_000
 PARTS = 1024
 SLOTS_PER_SHARD = 4096
 MAX_SHARDS = 100_000
+#: Counts (shards x sources) that the driver draws; with more slots, shards are larger.
+MAX_PLAN = 2_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> list[float]:
@@ -128,7 +130,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     sizes = [r.size for r in found]
     goal = targets(sizes, weights, share)
     slots = [slot_counts(n, t, block) for n, t in zip(sizes, goal, strict=True)]
-    shards = min(MAX_SHARDS, max(8, sum(k for k, _ in slots) // SLOTS_PER_SHARD))
+    shards = min(MAX_SHARDS, MAX_PLAN // max(1, len(slots)), max(8, sum(k for k, _ in slots) // SLOTS_PER_SHARD))
     counts = draw([k for k, _ in slots], shards, seed)
     first, place = np.cumsum(counts, axis=0) - counts, np.cumsum(counts, axis=1) - counts
     plan = [(int(k), int(s), int(first[k, s]), int(first[k, s] + counts[k, s]), int(place[k, s]), -(-sizes[s] // block), slots[s][0], slots[s][1]) for k, s in zip(*np.nonzero(counts), strict=True)]
