@@ -1,7 +1,7 @@
 import pytest
 
 from compare import same, views
-from helixlake.plans import catalogue, formats  # noqa: F401
+from helixlake.plans import catalogue, folds, formats  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
