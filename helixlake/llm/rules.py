@@ -12,6 +12,7 @@ that pass the base rules; an empty table gives no rows. Input columns other than
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +39,25 @@ FEATURES = {
 }
 
 
-def repeat_words(words: str, hashes: str) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with one computation of value: lambdas see it through an array of one element, also where the optimizer
+    puts the whole expression into a filter."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def window_hashes(words: Column) -> Column:
+    """A hash for each place where a window of 5 words begins."""
+    span = F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0)))
+    hashes = F.transform(span, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))
+    return F.when(F.size(words) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeat_words(hashes: Column) -> Column:
     """Words in windows whose hash occurs twice or more, from the hashes of the windows at each word."""
     placed = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     near = lambda s: F.transform(s, lambda v, k: F.when((v.x == F.get(s, k - 1).x) | (v.x == F.get(s, k + 1).x), v.i))
-    # lambdas see arrays through one-element wrappers, so that each is computed once
     at = lambda s: F.sort_array(F.filter(near(s), lambda i: i.isNotNull()))
     gaps = lambda q: F.aggregate(F.transform(q, lambda p, k: F.coalesce(F.least(F.lit(WINDOW), F.get(q, k + 1) - p), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
-    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
     some = once(placed, lambda s: once(at(s), gaps))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), some).otherwise(0).cast("long")
 
@@ -55,20 +67,18 @@ def statistics(docs: DataFrame) -> DataFrame:
     keep = [c for c in ("doc_id", "label") if c in docs.columns]
     text = docs.select(*keep, F.coalesce("text", F.lit("")).alias("t"))
     split = text.select(*keep, "t", words_of("t").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    span = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)))
-    hashed = split.withColumn("h", F.when(F.size("w") >= WINDOW, F.transform(span, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
-    return hashed.select(
+    return split.select(
         *keep,
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("t", WS + "+", "")).cast("long").alias("word_chars"),
         count(f"[{SYMBOLS}]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words("w", "h").alias("n_repeat_words"),
+        once(F.col("w"), lambda w: once(window_hashes(w), repeat_words)).alias("n_repeat_words"),
         count(r"\p{Lu}").alias("n_upper"),
         count("!").alias("n_shouts"),
         count("[0-9]").alias("n_digits"),
-        F.size(F.filter("w", lambda w, i: w == F.get("w", i - 1))).cast("long").alias("n_echoes"),
+        once(F.col("w"), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))).cast("long").alias("n_echoes"),
     )
 
 

@@ -53,6 +53,14 @@ def test_op6(spark, texts):
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in got)
 
 
+def test_rules_with_a_filter_behind(spark):
+    """The optimizer moves filters into the statistics; words and window hashes are still computed once a row."""
+    rows = rules.judged(table(spark, LARGER, "documents").select("doc_id", "text"), [])
+    want = collections.Counter((r.doc_id, r.n_repeat_words, r.n_echoes) for r in rows.collect() if r.kept and r.n_repeat_words < 3 and r.n_echoes < 9)
+    got = rows.where("kept and n_repeat_words < 3 and n_echoes < 9").collect()
+    assert want and collections.Counter((r.doc_id, r.n_repeat_words, r.n_echoes) for r in got) == want
+
+
 def test_rules_on_held_out_rows(spark):
     """Learned on two thirds of the labelled rows, held against the last third."""
     docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
