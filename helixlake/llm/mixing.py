@@ -100,20 +100,29 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(seed: int, block: int):
+def _slots(seed: int, block: int, sources: list[tuple[int, int, int]]):
+    """Slots of some shards in a row. sources: blocks, slots and words of the last slot; a row has the first shard, the slots
+    that each source has given before it, and the counts (shards x sources)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for at in range(row["first"], row["end"], 1 << 18):
-                    j = np.arange(at, min(at + (1 << 18), row["end"]))
-                    epoch, k = np.divmod(j, row["blocks"])
-                    b = k.copy()
-                    for e in np.unique(epoch):
-                        inner = (epoch == e) & (k < row["blocks"] - 1)
-                        b[inner] = permuted(k[inner], row["blocks"] - 1, seed * 1_000_003 + row["src"] * 101 + int(e))
-                    words = np.full(len(j), block)
-                    words[j == row["slots"] - 1] = row["last"]
-                    yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(len(j), row["src"]), pa.int32()), "block": b, "epoch": pa.array(epoch, pa.int32()), "shard": pa.array(np.full(len(j), row["shard"]), pa.int32()), "slot": j - row["first"] + row["place"], "words": words})
+                first = np.frombuffer(row["first"], "<i8").copy()
+                for shard, count in enumerate(np.frombuffer(row["counts"], "<i8").reshape(-1, len(first)), row["shard"]):
+                    place = np.cumsum(count) - count
+                    for src in np.flatnonzero(count).tolist():
+                        (blocks, slots, last), begin, end = sources[src], int(first[src]), int(first[src] + count[src])
+                        for at in range(begin, end, 1 << 18):
+                            j = np.arange(at, min(at + (1 << 18), end))
+                            epoch, k = np.divmod(j, blocks)
+                            b = k.copy()
+                            for e in np.unique(epoch):
+                                inner = (epoch == e) & (k < blocks - 1)
+                                b[inner] = permuted(k[inner], blocks - 1, seed * 1_000_003 + src * 101 + int(e))
+                            words = np.full(len(j), block)
+                            words[j == slots - 1] = last
+                            yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(len(j), src), pa.int32()), "block": b, "epoch": pa.array(epoch, pa.int32()), "shard": pa.array(np.full(len(j), shard), pa.int32()), "slot": j - begin + int(place[src]), "words": words})
+                    first += count
 
     return run
 
@@ -132,8 +141,14 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     slots = [slot_counts(n, t, block) for n, t in zip(sizes, goal, strict=True)]
     shards = min(MAX_SHARDS, MAX_PLAN // max(1, len(slots)), max(8, sum(k for k, _ in slots) // SLOTS_PER_SHARD))
     counts = draw([k for k, _ in slots], shards, seed)
-    first, place = np.cumsum(counts, axis=0) - counts, np.cumsum(counts, axis=1) - counts
-    plan = [(int(k), int(s), int(first[k, s]), int(first[k, s] + counts[k, s]), int(place[k, s]), -(-sizes[s] // block), slots[s][0], slots[s][1]) for k, s in zip(*np.nonzero(counts), strict=True)]
+    # shards by runs, their counts as they are in memory: the driver holds no row for each shard and source
+    runs = max(8, 4 * spark.sparkContext.defaultParallelism)
+    width, given, plan = max(1, -(-shards // runs)), np.zeros(len(slots), np.int64), []
+    for k in range(0, shards if slots else 0, width):
+        part = counts[k : k + width]
+        plan.append((k, given.astype("<i8").tobytes(), part.astype("<i8").tobytes()))
+        given = given + part.sum(axis=0)
+    sources = [(-(-n // block), *s) for n, s in zip(sizes, slots, strict=True)]
     about = spark.createDataFrame([(r.source, i, r.size, float(goal[i])) for i, r in enumerate(found)], "source string, src int, source_size long, target double")
     # the number of sources is checked above
     known = base.join(F.broadcast(about), base.source.eqNullSafe(about.source)).select("doc_id", "tie", "size", "src", "source_size", "target", F.pmod(F.xxhash64(F.coalesce("doc_id", "tie")), F.lit(PARTS)).alias("part"))
@@ -143,8 +158,9 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rows = known.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(begins, ["src", "part"]).select("doc_id", "tie", "size", "src", (F.col("begin") + F.col("before")).alias("start"), "source_size", "target")
     rows = written(rows)
     cut = rows.where("size > 0").select("src", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    drawn = spark.createDataFrame(plan, "shard int, src int, first long, end long, place long, blocks long, slots long, last long").repartition(max(8, min(len(plan), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(lean(_slots(seed, block)), "src int, block long, epoch int, shard int, slot long, words long")
-    joined = cut.join(drawn, ["src", "block"])
+    drawn = spark.createDataFrame(plan, "shard int, first binary, counts binary").repartition(runs).mapInArrow(lean(_slots(seed, block, sources)), "src int, block long, epoch int, shard int, slot long, words long")
+    # the planner takes the slots to be as small as the counts that they are made of, and would send them all to the driver
+    joined = cut.join(drawn.hint("merge"), ["src", "block"])
     begin = F.col("block") * block
     pieces = joined.select("src", "start", "shard", "slot", "epoch", (F.greatest(F.col("start"), begin) - F.col("start")).alias("first"), (F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.col("start")).alias("end"))
     return rows, pieces.where("end > first")

@@ -502,6 +502,20 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mixture(empty)[0].collect() == []
 
 
+def test_mixing_sends_no_slots_to_the_driver(spark, docs, monkeypatch):
+    """Slots are made from a small table, which the planner must not take for their size; that table has a row for a run of
+    shards, however many shards and sources there are."""
+    made, real = [], type(spark).createDataFrame
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 4)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **kw: made.append(len(data)) or real(self, data, *a, **kw))
+    rows, pieces = mixing.mixture(docs, block=2)
+    plan = pieces._jdf.queryExecution()
+    assert plan.toRdd().count() == pieces.count() > 1000
+    assert "BroadcastHashJoin" not in plan.executedPlan().toString()
+    shards, sources = pieces.agg(F.countDistinct("shard"), F.countDistinct("src")).first()
+    assert shards > 200 and max(made) <= max(sources + 1, 4 * spark.sparkContext.defaultParallelism) < shards
+
+
 def test_mixed_texts(spark, docs, rows, empty):
     out = mixing.mixed(clashing(docs), block=16)
     got = out.collect()
