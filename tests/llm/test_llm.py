@@ -414,6 +414,28 @@ def test_ranking(spark, empty):
     assert w[0] > 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.004])
+def test_ranking_learns_from_all_rows(spark, monkeypatch, share):
+    """More labelled rows than the 20,000 that counted once, in many groups: means, scales, pairs and quantile are those of all."""
+    monkeypatch.setattr(ranking, "FEW", 50)
+    n, k = 30_000, len(ranking.FEATURES)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, k)).round(1)
+    y = (x[:, 0] + rng.normal(size=n) > np.quantile(x[:, 0], 1 - share)).astype(int)
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "doc_id long, x array<double>").repartition(3)
+    model = ranking.learned(rows, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"))
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["scale"], x.std(0))
+    w = np.array(model["weights"])
+    worth = (x - x.mean(0)) / x.std(0) @ w
+    assert model["cut"] == pytest.approx(np.quantile(worth, (y == 0).mean())) and model["slope"] == pytest.approx(4 / worth.std())
+    assert np.abs(w - ranking.bradley_terry((x - x.mean(0)) / x.std(0), y)).max() < 0.1 * np.abs(w).max()
+    at = spark.createDataFrame([(int(v), r, i) for i, (v, r) in enumerate(zip(y, x.tolist(), strict=True))], "label int, x array<double>, at long")
+    seen = ranking.groups(at, int(y.sum()), int(n - y.sum())).collect()
+    sides = [[np.frombuffer(b, "<f8").reshape(-1, k) for b in (r.good, r.bad)] for r in seen]
+    assert len(sides) > 1 and all(len(a) and len(b) for a, b in sides)
+    assert {r.tobytes() for pair in sides for side in pair for r in side} == {r.tobytes() for r in x}
+
+
 # ---- 9
 
 
