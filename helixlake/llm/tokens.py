@@ -134,10 +134,15 @@ class Encoder:
         self.ids = np.concatenate([ids, np.empty(1 << 20, np.uint32)])
         self.fixed()
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of letters with their space, if any, or of marks; each is one word to the tokenizer."""
+    def words(self, words: list[str]) -> np.ndarray:
+        """New slots for letters with their space, if any, or for marks; each is one word to the tokenizer."""
         tokenize, letters = self.word, "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
-        return [[t.id for t in tokenize(w)] for w in letters]
+        ids, counts = [], []
+        for w in letters:
+            found = tokenize(w)
+            ids += [t.id for t in found]
+            counts.append(len(found))
+        return self.keep(np.array(ids, np.uint32), np.array(counts, np.int64))
 
     def new(self, pieces: pa.Array, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Slots of pieces that are not known yet."""
@@ -151,13 +156,12 @@ class Encoder:
         length = pc.utf8_length(pieces).to_numpy()
         out = np.full(len(pieces), -1)
 
-        def made(at: np.ndarray, slots: np.ndarray) -> None:
-            out[at] = slots
+        if len(at := np.flatnonzero(whole)):
+            out[at] = self.words(pieces.take(pa.array(at)).to_pylist())
             at = at[length[at] <= LONGEST]
             self.remember(hashes[at], checks[at], out[at])
-
-        if len(at := np.flatnonzero(whole)):
-            made(at, self.listed(self.words(pieces.take(pa.array(at)).to_pylist())))
+        later = np.flatnonzero(~whole & (length <= LONGEST))  # remembered at the end, with stems
+        hashes, checks, stem_slots = [hashes[later]], [checks[later]], []
         if len(at := np.flatnonzero(plain & ~whole)):
             take = pa.array(at)
             gap = pc.if_else(pc.and_not(led, pa.array(broken)), " ", "").cast(pa.large_string()).take(take)
@@ -165,25 +169,29 @@ class Encoder:
             key, check = self.keys(stem)
             known = self.find(key, check)
             if len(gone := np.flatnonzero(known < 0)):
-                first = gone[np.unique(key[gone], return_index=True)[1]]
-                slots = self.listed(self.words(stem.take(pa.array(first)).to_pylist()))
+                _, first, same = np.unique(key[gone], return_index=True, return_inverse=True)
+                first = gone[first]
+                slots = self.words(stem.take(pa.array(first)).to_pylist())
+                known[gone] = np.where(check[gone] == check[first][same], slots[same], -1)
+                for j in np.flatnonzero(known < 0).tolist():  # hashes that collide
+                    known[j] = self.words([stem[j].as_py()])[0]
                 brief = pc.utf8_length(stem).to_numpy()[first] <= LONGEST
-                self.remember(key[first[brief]], check[first[brief]], slots[brief])
-                known = self.find(key, check)
-                for j in np.flatnonzero(known < 0).tolist():  # long ones
-                    known[j] = self.listed(self.words([stem[j].as_py()]))[0]
+                hashes.append(key[first[brief]])
+                checks.append(check[first[brief]])
+                stem_slots.append(slots[brief])
             # the marks are the last bytes of each piece
             raw, ends = text_bytes(body.take(take))
             size = pc.binary_length(body).to_numpy()[at] - pc.binary_length(stems).to_numpy()[at]
             coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(raw[ragged(ends[1:] - size, size)])).dictionary_encode()
             for tail in [t for t in coded.dictionary.to_pylist() if t not in self.marks]:
-                self.marks[tail] = int(self.listed(self.words([tail]))[0])
+                self.marks[tail] = int(self.words([tail])[0])
             tails = np.array([self.marks[t] for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
             parts = np.stack([np.where(broken[at], self.gap, self.marks[""]), known, tails], axis=1)
             size = self.at[parts + 1] - self.at[parts]
-            made(at, self.keep(self.ids[ragged(self.at[parts].reshape(-1), size.reshape(-1))], size.sum(axis=1)))
+            out[at] = self.keep(self.ids[ragged(self.at[parts].reshape(-1), size.reshape(-1))], size.sum(axis=1))
         if len(at := np.flatnonzero(~plain)):
-            made(at, self.listed([e.ids for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(at)).to_pylist(), add_special_tokens=False)]))
+            out[at] = self.listed([e.ids for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(at)).to_pylist(), add_special_tokens=False)])
+        self.remember(np.concatenate(hashes), np.concatenate(checks), np.concatenate([out[later], *stem_slots]))
         return out
 
     @staticmethod
@@ -259,13 +267,18 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RU
         key = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
         bits = min(21, max(8, len(where).bit_length()))
         slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        # a pair is as frequent as its slot at most; in full slots one pair is counted by slot, others by their names
-        full = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        # a pair is as frequent as its slot at most; in full slots, numbered anew, one pair is counted by slot, others by their names
+        full = np.bincount(slot, minlength=1 << bits) >= least
+        full = np.flatnonzero(full)
+        number, slots = np.full(1 << bits, -1, np.int32), len(full)
+        number[full] = np.arange(slots)
+        slot = number[slot]
+        full = np.flatnonzero(slot >= 0)
         where, key, slot = where[full], key[full], slot[full]
-        chosen = np.zeros(1 << bits, np.uint64)
+        chosen = np.zeros(slots, np.uint64)
         chosen[slot] = key
         own = chosen[slot] == key
-        count = np.bincount(slot[own], minlength=1 << bits)
+        count = np.bincount(slot[own], minlength=slots)
         others, other_count = np.unique(key[~own], return_counts=True)
         often = np.flatnonzero(count >= least)
         pairs = np.concatenate([chosen[often], others[other_count >= least]])
@@ -274,7 +287,7 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RU
         times = np.concatenate([count[often], other_count[other_count >= least]])
         every = len(pairs) <= rules
         pairs = np.sort(pairs if every else pairs[np.lexsort((pairs, -times))[:rules]])
-        rule_of = np.full(1 << bits, -1, np.int64)
+        rule_of = np.full(slots, -1, np.int64)
         mine = np.minimum(np.searchsorted(pairs, chosen[often]), len(pairs) - 1)
         rule_of[often] = np.where(pairs[mine] == chosen[often], mine, -1)
         rule = np.where(own, rule_of[slot], -1)
@@ -286,7 +299,7 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RU
         # of overlapping places the 1st, 3rd, ... of each chain
         begin = np.concatenate(([True], np.diff(where) > 1))
         head = np.flatnonzero(begin)[np.cumsum(begin) - 1]
-        take = (np.arange(len(where)) - head) % 2 == 0
+        take = (np.arange(len(where)) - head) & 1 == 0
         where, rule = where[take], rule[take]
         seq[where] = base + rule
         last[where] = last[where + 1]
@@ -298,9 +311,9 @@ def repair(ids: np.ndarray, offsets: np.ndarray, terminals: int, rules: int = RU
         base += len(pairs)
         if every:
             new = where - np.arange(len(where))
-            look = np.zeros(len(seq) + 1, dtype=bool)
-            look[new] = look[new - 1] = True  # -1 is the place behind the end
-            where = np.flatnonzero(look[:-1] & ~last)
+            look = np.stack([new - 1, new], axis=1).reshape(-1)
+            look = look[np.concatenate(([True], look[1:] > look[:-1])) & (look >= 0)]
+            where = look[~last[look]]
         else:
             where = np.flatnonzero(~last)
     return seq, at, np.concatenate(made) if made else np.empty((0, 2), np.uint32)
@@ -389,12 +402,12 @@ class Shard:
         symbols = self.symbols(0, self.n_symbols)
         start, flat = self.expansions()
         size = self.size(symbols)
-        at = np.concatenate(([0], np.cumsum(size)))
-        out = np.empty(int(at[-1]), np.uint32)
         rule = symbols >= self.terminals
-        out[at[:-1][~rule]] = symbols[~rule]
-        out[ragged(at[:-1][rule], size[rule])] = flat[ragged(start[symbols[rule].astype(np.int64) - self.terminals], size[rule])]
-        return out, at[self.first]
+        begin = np.empty(len(symbols), np.int64)  # ids of rules lie in flat, others behind it
+        begin[rule] = start[symbols[rule].astype(np.int64) - self.terminals]
+        begin[~rule] = len(flat) + np.arange(len(symbols) - int(rule.sum()))
+        out = np.concatenate([flat, symbols[~rule]])[ragged(begin, size)]
+        return out, np.concatenate(([0], np.cumsum(size)))[self.first]
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each rule begin, and the ids of all rules."""

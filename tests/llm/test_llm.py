@@ -306,6 +306,20 @@ def test_encoder_odd_white_space():
         assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_encoder_sorts_its_pieces_twice_a_batch(monkeypatch):
+    """The remembered pieces are put in order once for whole words, and once for all other pieces and their stems."""
+    calls, real = [], tokens.Encoder.remember
+    monkeypatch.setattr(tokens.Encoder, "remember", lambda self, *a: calls.append(len(a[0])) or real(self, *a))
+    e = tokens.Encoder(tokens.default_tokenizer())
+    texts = ["plain words, and stems; stems, and plain!", f"x{'y' * 90}, x{'y' * 90}! x{'y' * 90}, 12 a1", "words\nplain; don't"]
+    for _ in range(2):
+        ids, at = e.encode(pa.array(texts))
+        for t, a, b in zip(texts, at, at[1:]):
+            assert ids[a:b].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert len(calls) <= 2 and (e.hash[1:] > e.hash[:-1]).all()
+        calls.clear()
+
+
 # ---- 6
 
 
