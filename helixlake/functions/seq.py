@@ -205,11 +205,11 @@ def melting_temperature(s: Col) -> Column:
 
 def design_primers(s: Col, target: float, forward_overhang: str = "", reverse_overhang: str = "", shortest: int = 15, longest: int = 60) -> Column:
     """Struct of forward and reverse: grown from 15 nt at each end until they melt at `target`; null when none does."""
+    from .melting import primer_length_column
+
     x = F.upper(_c(s))
-    sizes = F.sequence(F.lit(shortest), F.least(F.length(x), F.lit(longest)))
-    pick = lambda cut: F.get(F.filter(F.transform(sizes, cut), lambda p: melting_temperature(p) >= target), 0)
-    forward = pick(lambda n: F.substring(x, F.lit(1), n))
-    back = pick(lambda n: reverse_complement(F.substring(x, F.length(x) - n + 1, n)))
+    length = primer_length_column(target, shortest, longest)
+    forward, back = (F.substring(v, F.lit(1), length(v)) for v in (x, reverse_complement(x)))
     return F.when(F.length(x) >= shortest, F.struct(F.concat(F.lit(forward_overhang), forward).alias("forward"), F.concat(reverse_complement(F.lit(reverse_overhang)), back).alias("reverse")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, cloning, codec, design, seq
 from ..operators import barcoding, codons, matching, pileups
-from ..session import table
+from ..session import spread, table
 from ..sources import native
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,10 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("identifier"), _letters("text").alias("sequence"))
 
 
-def rand_dna(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.translate(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
+def rand_dna(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    """`wide` for functions whose work is large beside their input."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return (spread(orders, "o_orderkey") if wide else orders).select("o_orderkey", F.translate(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
 
 
 def _md5(c: Column) -> Column:
@@ -245,7 +247,7 @@ def santa_lucia(spark, sf):
 
 @query()
 def design_primers(spark, sf):
-    return rand_dna(spark, sf).select("o_orderkey", seq.design_primers("dna", 50.0, "GGTCTC", "GAGACC").alias("p")).select("o_orderkey", "p.forward", "p.reverse")
+    return rand_dna(spark, sf, wide=True).select("o_orderkey", seq.design_primers("dna", 50.0, "GGTCTC", "GAGACC").alias("p")).select("o_orderkey", "p.forward", "p.reverse")
 
 
 @query(f"SELECT i AS ordinal, substr('{design.de_bruijn(6)}', (i * 15 + 1)::BIGINT, 20) AS barcode FROM range(0, 273) t(i) WHERE i * 15 + 20 < 4101")

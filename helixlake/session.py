@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out over all cores by keys, for functions whose work is large beside what they read: a small file would
+    be a task or two. The number is given, since adaptive execution puts small partitions together where it is not."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder in
     local mode and an error on a cluster, whose executors would write to their own disks."""
