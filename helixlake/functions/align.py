@@ -114,9 +114,40 @@ def local_score(a: str, b: str, scoring: Scoring | None = None) -> int:
     return int(_fill(a, b, scoring or Scoring(), local=True).max())
 
 
+def local_scores(x: np.ndarray, words: list[np.ndarray], scoring: Scoring) -> list[np.ndarray]:
+    """Local scores of the rows of x (codes, all of one length) against each word; only a row of each grid is kept. Rows of x
+    lie side by side, and the dependence along a row is passed on over 1, 2, 4, ... letters."""
+    most = int(np.abs(scoring.table).max(initial=1)) + abs(scoring.gap)
+    size = most * (x.shape[1] + max(map(len, words)) + 2)
+    kind = np.int16 if size < 1 << 15 else np.int32 if size < 1 << 31 else np.int64
+    out = [np.zeros(len(x), kind) for _ in words]
+    for at in range(0, len(x), _ROWS):
+        part = x[at : at + _ROWS]
+        scores = np.ascontiguousarray(scoring.table.T.astype(kind)[:, part.T].transpose(1, 0, 2))  # place, letter of the word, row of x
+        for y, to in zip(words, out, strict=True):
+            row = np.zeros((len(y) + 1, len(part)), kind)
+            top, step, gaps = np.zeros_like(row), np.empty_like(row[1:]), np.empty_like(row)
+            for score in scores:
+                np.take(score, y, axis=0, out=step)
+                step += row[:-1]
+                row += scoring.gap
+                np.maximum(row[1:], step, out=row[1:])
+                np.maximum(row, 0, out=row)
+                far = 1
+                while far <= len(y):
+                    np.add(row[:-far], scoring.gap * far, out=gaps[far:])
+                    np.maximum(row[far:], gaps[far:], out=row[far:])
+                    far *= 2
+                np.maximum(top, row, out=top)
+            to[at : at + _ROWS] = top.max(axis=0)
+    return out
+
+
 _RESULT = "score int, a string, b string, error string"
 #: Grid cells that are filled at once.
 _CELLS = 1 << 22
+#: Sequences whose scores are filled side by side.
+_ROWS = 1024
 
 
 def _column(trace, scoring: Scoring | None, local: bool, **kw):

@@ -22,3 +22,33 @@ def test_primers_are_the_shortest_that_melt(spark):
     tried = rows.select("p", F.explode(F.sequence(F.lit(15), F.lit(32))).alias("n"), F.substring("s", F.lit(1), F.col("n")).alias("w")).withColumn("tm", seq.melting_temperature("w"))
     for r in tried.where("tm >= 50").groupBy("p").agg(F.min_by("w", "n").alias("first")).collect():
         assert r.p.forward == r.first
+
+
+def _reads(n: int, letters: int) -> list[str]:
+    import random
+
+    r = random.Random(7)
+    return ["".join(r.choices("ACGT", k=letters)) for _ in range(n)]
+
+
+def test_wells_of_many_reads():
+    """Scores are those of one pair at a time; 1500 reads would take over a minute that way."""
+    import time
+
+    from helixlake.functions import align
+    from helixlake.functions.cloning import revcomp
+    from helixlake.operators import barcoding
+
+    a, b, x, y = _reads(4, 24)
+    scoring = align.Scoring("ACGTU", None, -2)
+    codes = [scoring.encode(s) for s in (a + b, x + y)]
+    words = [a[3:20] + x, y[:-4], b + "A"]
+    import numpy as np
+
+    for word, found in zip(words, align.local_scores(np.stack(codes), [scoring.encode(w) for w in words], scoring), strict=True):
+        assert found.tolist() == [align.local_score(s, word, scoring) for s in (a + b, x + y)]
+    primers = barcoding.PrimerSet([("one", a, x), ("two", b, y)])
+    reads = [f + "GTTTTCCCAGTCACGAC" + s + revcomp(r + "AGCGGATAACAATTTCACACAGG") for s, f, r in zip(_reads(1500, 300), [a, b, a] * 500, [x, y, y] * 500, strict=True)]
+    began = time.time()
+    assert barcoding.wells(reads, "GTTTTCCCAGTCACGAC", "AGCGGATAACAATTTCACACAGG", primers) == ["one", "two", ""] * 500
+    assert time.time() - began < 20
