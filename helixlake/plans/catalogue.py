@@ -454,7 +454,7 @@ def cds_fix(spark, sf):
     known = codons.translation_map(1)
     table_ = design.as_codons(codons.codon_tables(spark, 1))
     s = F.concat("dna", "dna", "dna")
-    fixed = rand_dna(spark, sf).select("o_orderkey", s.alias("s"), design.repair_column(table_, ["GGTCTC", "GAAGAC"])(s).alias("r"))
+    fixed = rand_dna(spark, sf, wide=True).select("o_orderkey", s.alias("s"), design.repair_column(table_, ["GGTCTC", "GAAGAC"])(s).alias("r"))
     return fixed.select("o_orderkey", seq.translate(F.coalesce("r.sequence", "s"), known).alias("protein"))
 
 
