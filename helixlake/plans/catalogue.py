@@ -421,7 +421,7 @@ def next_overhangs(spark, sf):
 def _long_dna(spark, sf) -> DataFrame:
     """384 letters for each customer."""
     part = lambda k: F.translate(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit(f"-{k}")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return table(spark, sf, "customer").select("c_custkey", F.concat(*[part(k) for k in range(12)]).alias("dna"))
+    return spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat(*[part(k) for k in range(12)]).alias("dna"))
 
 
 @query()

@@ -7,7 +7,7 @@ from helixlake.plans import catalogue, folds, formats  # noqa: F401
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["design_primers"])
+@pytest.mark.parametrize("name", ["design_primers", "cds_fix", "fragment_sequences", "recursive_fragment"])
 def test_small_files_are_dealt_out(spark, name):
     assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
@@ -52,3 +52,37 @@ def test_wells_of_many_reads():
     began = time.time()
     assert barcoding.wells(reads, "GTTTTCCCAGTCACGAC", "AGCGGATAACAATTTCACACAGG", primers) == ["one", "two", ""] * 500
     assert time.time() - began < 20
+
+
+def test_cuts_of_long_sequences():
+    """Each cut is the best of all choices by `set_efficiency`; a sequence of 6000 letters took over a minute by whole sets."""
+    import time
+
+    from helixlake.functions import design
+
+    words = [a + b + c + d for a in "ACGT" for b in "ACGT" for c in "ACGT" for d in "ACGT"]
+    fidelity = {(x, y): 1000 if x == y else (7 * i + 3 * j) % 5 for i, x in enumerate(words) for j, y in enumerate(words)}
+    for s in (_reads(1, 400)[0], _reads(1, 400)[0].replace("ACG", "ANG")):
+        pieces, efficiency = design.fragment(s, 60, 90, fidelity, include=words[::3])
+        used = [s[:4], s[-4:], *(x[-4:] for x in pieces[:-1])]
+        assert efficiency == design.set_efficiency(used, fidelity)
+    began = time.time()
+    pieces, _ = design.fragment(_reads(1, 6000)[0], 60, 120, fidelity)
+    assert len(pieces) > 50 and time.time() - began < 5
+
+
+def test_repair_of_many_sequences():
+    """Checks and choices of codons are made once, not for each sequence."""
+    from helixlake.functions import design
+
+    codons = {"K": [("AAA", 1), ("AAG", 3)], "G": [("GGT", 2), ("GGA", 2), ("GGC", 1)]}
+    known, checks = design.Synonyms(codons), design.simple_checks(["AAGGGT"])
+    for s in ("AAAGGTGGAAAAGGT" * 4, "AAGGGTAAA", "AAGGG"):
+        both = []
+        for c in (codons, known):
+            try:
+                both.append(design.repair(s, c, checks))
+            except ValueError as e:
+                both.append(str(e))
+        assert both[0] == both[1]
+    assert design.repair("AAGGGTAAA", known, checks)[0] == "AAGGGAAAA"
