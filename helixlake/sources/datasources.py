@@ -209,7 +209,10 @@ class _Read:
                 yield from map(row, [P.sam_header(it, self.options["parity"])] if self.form.name == "sam" else P.slow5_header(it)[0])
             return
         if not self.permissive:
-            yield from map(row, self.form.parse(self.lines(part), self.options))
+            lines = self.lines(part)
+            first = next(lines, None)
+            if first is not None or self.form.header:  # a task without rows writes an empty file, and no record need begin in a range
+                yield from map(row, self.form.parse(itertools.chain([first], lines) if first is not None else lines, self.options))
             return
         for block in self.blocks(part):
             try:

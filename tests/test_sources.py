@@ -196,3 +196,13 @@ def test_stream_reads_late_files(spark, tmp_path):
     os.utime(folder / "a.fasta", (1, 1))
     assert run() == ["a", "b"]
     assert run() == ["a", "b"]
+
+
+def test_files_and_ranges_without_records(spark, tmp_path):
+    """A task without rows writes an empty file; a record may be longer than a range."""
+    register(spark)
+    rows = spark.createDataFrame([("a", "ACGT"), ("b", "T" * 3000)], "identifier string, sequence string")
+    rows.repartition(5).write.format("fasta").mode("append").save(str(tmp_path / "some"))
+    assert spark.read.format("fasta").option("splitBytes", "700").load(str(tmp_path / "some")).count() == 2
+    rows.where("false").write.format("fasta").mode("append").save(str(tmp_path / "none"))
+    assert spark.read.format("fasta").load(str(tmp_path / "none")).count() == 0
