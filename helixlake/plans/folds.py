@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contrafold, zuker
 from ..functions.folding import LETTERS, PAIRS
-from ..session import table
+from ..session import spread, table
 from .catalogue import query
 
 
@@ -29,7 +29,7 @@ def fold_zuker(spark: SparkSession, sf: str) -> DataFrame:
     dna = F.translate(F.md5(F.col("s_suppkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
     sequence = F.when(F.col("s_suppkey") % 2 == 1, F.translate(dna, "T", "U")).otherwise(dna)
     fold = zuker.fold_column(made_up_tables("ACGT"), made_up_tables("ACGU"))
-    folded = table(spark, sf, "supplier").select("s_suppkey", sequence.alias("sequence")).repartition("s_suppkey").withColumn("fold", fold("sequence"))
+    folded = spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", sequence.alias("sequence")).withColumn("fold", fold("sequence"))
     return folded.select("s_suppkey", "sequence", "fold.structure", F.round("fold.energy", 6).alias("energy"), F.size("fold.loops").alias("n_loops"))
 
 
@@ -52,5 +52,5 @@ def made_up_weights() -> str:
 def fold_contrafold(spark: SparkSession, sf: str) -> DataFrame:
     """Structures of 32 letters from a hash of each supplier's key, by learned weights' features and a beam of 100."""
     rna = F.translate(F.md5(F.col("s_suppkey").cast("string").cast("binary")), "0123456789abcdef", "ACGUACGUACGUACGU")
-    folded = table(spark, sf, "supplier").select("s_suppkey", rna.alias("sequence")).repartition("s_suppkey").withColumn("fold", contrafold.fold_column(made_up_weights())("sequence"))
+    folded = spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", rna.alias("sequence")).withColumn("fold", contrafold.fold_column(made_up_weights())("sequence"))
     return folded.select("s_suppkey", "sequence", "fold.structure", F.round("fold.score", 6).alias("score"))

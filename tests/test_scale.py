@@ -7,7 +7,7 @@ from helixlake.plans import catalogue, folds, formats  # noqa: F401
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["design_primers", "cds_fix", "fragment_sequences", "recursive_fragment"])
+@pytest.mark.parametrize("name", ["design_primers", "cds_fix", "fragment_sequences", "recursive_fragment", "fold_zuker", "fold_contrafold"])
 def test_small_files_are_dealt_out(spark, name):
     assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
