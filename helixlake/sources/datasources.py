@@ -17,12 +17,13 @@ import io
 import itertools
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DataType, MapType, Row, StructType
 
 from .. import schemas
@@ -30,6 +31,9 @@ from . import genbank as gb
 from . import parsers as P
 
 SPLIT = 64 << 20
+#: Bytes that are parsed at once, and records that make a batch.
+BLOCK = 8 << 20
+BATCH = 4096
 LONGEST_LINE = 128 << 20
 
 
@@ -91,6 +95,7 @@ class Part(InputPartition):
     path: str
     start: int
     end: int | None  # None: the whole file
+    inside: bool = False  # a record begins at the start
 
 
 # ---- formats
@@ -107,6 +112,8 @@ class Format:
     begins: Callable[[list[str]], bool] | None = None
     header: bool = False  # header lines at the top of a file are needed by every range
     header_ddl: str = ""
+    vector: str = ""  # name of the functions in `vectors`
+    lines: int = 1  # of a record, where blocks are parsed at once
 
 
 def _fastq_begins(x: list[str]) -> bool:
@@ -115,9 +122,9 @@ def _fastq_begins(x: list[str]) -> bool:
 
 FORMATS = {
     "fasta": Format("fasta", schemas.FASTA, lambda it, o: P.fasta(it), lambda r, h: P.fasta_text(r), lambda x: x[0].startswith(">")),
-    "fastq": Format("fastq", schemas.FASTQ, lambda it, o: P.fastq(it, o["parity"]), lambda r, h: P.fastq_text(r), _fastq_begins),
+    "fastq": Format("fastq", schemas.FASTQ, lambda it, o: P.fastq(it, o["parity"]), lambda r, h: P.fastq_text(r), _fastq_begins, vector="fastq", lines=4),
     "genbank": Format("genbank", schemas.GENBANK, lambda it, o: gb.genbank(it, o["parity"]), lambda r, h: gb.genbank_text(r), lambda x: x[0].startswith("LOCUS")),
-    "sam": Format("sam", schemas.SAM, lambda it, o: P.sam(it, o["parity"]), lambda r, h: P.sam_text(r), lambda x: True, header_ddl=schemas.SAM_HEADER),
+    "sam": Format("sam", schemas.SAM, lambda it, o: P.sam(it, o["parity"]), lambda r, h: P.sam_text(r), lambda x: True, header_ddl=schemas.SAM_HEADER, vector="sam"),
     "pileup": Format("pileup", schemas.PILEUP, lambda it, o: P.pileup(it), lambda r, h: P.pileup_text(r), lambda x: True),
     "slow5": Format("slow5", schemas.SLOW5, lambda it, o: P.slow5(it, o["zeroValues"]), lambda r, h: P.slow5_text(r, h), lambda x: True, header=True, header_ddl=schemas.SLOW5_HEADER),
     "rebase": Format("rebase", schemas.REBASE, lambda it, o: P.rebase(it, o["parity"])),
@@ -145,6 +152,22 @@ def _shaped(value: Any, kind: DataType) -> Any:
     return value
 
 
+def _named(values: Iterable, kind: DataType) -> list:
+    """Tuples of structs as dictionaries, for Arrow."""
+    if isinstance(kind, StructType):
+        fields = [(f.name, f.dataType, _nested(f.dataType)) for f in kind.fields]
+        return [None if v is None else {n: _named((x,), t)[0] if deep else x for (n, t, deep), x in zip(fields, v, strict=True)} for v in values]
+    if isinstance(kind, ArrayType) and _nested(kind.elementType):
+        return [None if v is None else _named(v, kind.elementType) for v in values]
+    if isinstance(kind, MapType):
+        return [None if v is None else list(v.items()) for v in values]
+    return list(values)
+
+
+def _nested(kind: DataType) -> bool:
+    return isinstance(kind, (StructType, MapType)) or isinstance(kind, ArrayType) and _nested(kind.elementType)
+
+
 class _Read:
     """What batch and streaming readers share."""
 
@@ -177,7 +200,7 @@ class _Read:
             it = lines_from(stream, self.limit)
             if part.start:
                 at += len(next(it, "").encode("utf-8", "replace")) - 1
-            inside = False
+            inside = part.inside
             while True:
                 while len(window) < 4 and (line := next(it, None)) is not None:
                     window.append(line)
@@ -222,6 +245,88 @@ class _Read:
                 if "_corrupt_record" in names:
                     yield row({"_corrupt_record": text})
 
+    def batches(self, part: Part) -> Iterator:
+        """Arrow batches of the rows; regular blocks are parsed at once."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+
+        def slow(part: Part) -> Iterator:
+            it = self.rows(part)
+            while rows := list(itertools.islice(it, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(_named(c, f.dataType), t.type) for c, f, t in zip(zip(*rows, strict=True), self.schema.fields, schema, strict=True)], schema=schema)
+
+        if not self.form.vector or self.permissive or self.head or self.options["parity"] or self.options["ordinals"] or part.path.endswith(".gz"):
+            yield from slow(part)
+            return
+        from . import vectors
+
+        parse = getattr(vectors, self.form.vector)
+        for at, block in self.whole(part):
+            columns = parse(block, self.limit) if block else None
+            if columns is None:  # from here on record by record
+                yield from slow(Part(part.path, at, 1 << 62 if part.end is None else part.end, True))
+                return
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(t.type) for f, t in zip(self.schema.fields, schema, strict=True)], schema=schema)
+
+    def whole(self, part: Part) -> Iterator[tuple[int, bytes]]:
+        """(place, bytes) of blocks of whole records that begin in the range; an empty block for what has no regular end."""
+        with open_file(part.path) as stream:
+            at, step = part.start, self.form.lines
+            if part.start:
+                at = self.first(part)
+                if at is None:
+                    return
+                stream.seek(at)
+            rest = b""
+            while part.end is None or at < part.end:
+                data = stream.read(BLOCK)
+                rest += data
+                ends = np.flatnonzero(np.frombuffer(rest, np.uint8) == 10) + 1
+                if not data and rest and (not len(ends) or ends[-1] < len(rest)):
+                    ends = np.append(ends, len(rest))  # the last line may lack its end
+                ends = ends[: len(ends) // step * step][step - 1 :: step]
+                if part.end is not None:  # records that begin before the end of the range
+                    ends = ends[: 1 + int(np.searchsorted(ends, part.end - at, side="left"))]
+                if len(ends):
+                    yield at, rest[: ends[-1]]
+                    at, rest = at + int(ends[-1]), rest[ends[-1] :]
+                    if part.end is not None and at >= part.end:
+                        if step > 1 and not self.begins_at(part.path, at):
+                            yield at, b""  # what follows is no record and belongs to this range
+                        return
+                elif data and len(rest) > step * (self.limit + BLOCK):
+                    yield at, b""
+                    return
+                if not data:
+                    if rest:
+                        yield at, b""
+                    return
+
+    def begins_at(self, path: str, at: int) -> bool:
+        """Whether a record, or nothing, follows."""
+        with open_file(path) as stream:
+            stream.seek(at)
+            window = list(itertools.islice(lines_from(stream, self.limit), 4))
+        return not window or self.form.begins(window)
+
+    def first(self, part: Part) -> int | None:
+        """Place of the first record that begins in a range."""
+        with open_file(part.path) as stream:
+            stream.seek(part.start - 1)
+            lines = iter(io.BufferedReader(_Raw(stream), 1 << 16).readline, b"")
+            at, window = part.start - 1 + len(next(lines, b"")), []
+            while at < part.end:
+                while len(window) < 4 and (line := next(lines, None)) is not None:
+                    window.append(line)
+                if not window:
+                    return None
+                if self.form.begins([x.decode("utf-8", "replace") for x in window]):
+                    return at
+                at += len(window.pop(0))
+        return None
+
     def blocks(self, part: Part) -> Iterator[list[str]]:
         """Lines of one record at a time (with the header, where rows need it), for PERMISSIVE."""
         head: list[str] = []
@@ -248,8 +353,8 @@ class _Batch(DataSourceReader):
     def partitions(self) -> list[Part]:
         return [p for path, size, _ in files(self.read_.path) for p in self.read_.cut(path, size)] or [Part("", 0, 0)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        return self.read_.rows(partition) if partition.path else iter(())
+    def read(self, partition: Part) -> Iterator:
+        return self.read_.batches(partition) if partition.path else iter(())
 
 
 def _mark(path: str, time: int) -> str:
@@ -273,8 +378,8 @@ class _Stream(DataSourceStreamReader):
         old, new = ({x["seen"][k : k + 16] for k in range(0, len(x["seen"]), 16)} for x in (start, end))
         return [p for path, size, t in files(self.read_.path) if _mark(path, t) in new - old for p in self.read_.cut(path, size)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        return self.read_.rows(partition)
+    def read(self, partition: Part) -> Iterator:
+        return self.read_.batches(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -285,7 +390,7 @@ class _Written(WriterCommitMessage):
     path: str
 
 
-class _Write(DataSourceWriter):
+class _Write(DataSourceArrowWriter):
     """A file for each task. SLOW5 files begin with the header of option `header` (JSON of its read groups), SAM files
     with that of option `header` where it is given."""
 
@@ -298,9 +403,13 @@ class _Write(DataSourceWriter):
         self.job = uuid.uuid4().hex[:8]
         self.old = []
 
-    def write(self, iterator: Iterator[Row]) -> _Written:
+    def write(self, iterator: Iterator) -> _Written:
         from pyspark import TaskContext
 
+        from . import vectors
+
+        vector = getattr(vectors, f"{self.form.vector}_text") if self.form.vector else lambda batch: None
+
         system, inner = file_system(self.path)
         system.create_dir(inner, recursive=True)
         context = TaskContext.get()
@@ -310,8 +419,13 @@ class _Write(DataSourceWriter):
             if self.header is not None:
                 out.write((P.slow5_header_text(self.header) if self.form.name == "slow5" else P.sam_header_text(self.header)).encode())
                 reasons = self.header[0]["end_reason_map"] if self.form.name == "slow5" else None
-            for row in iterator:
-                out.write(self.form.text({k: _plain_deep(row[k]) for k in self.names}, reasons).encode())
+            for batch in iterator:
+                if (texts := vector(batch)) is not None:
+                    out.write(vectors.written(texts))
+                    continue
+                columns = [c.to_pylist(maps_as_pydicts="lossy") for c in batch.columns]
+                for row in zip(*columns, strict=True):
+                    out.write(self.form.text(dict(zip(self.names, row, strict=True)), reasons).encode())
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:

@@ -206,3 +206,44 @@ def test_files_and_ranges_without_records(spark, tmp_path):
     assert spark.read.format("fasta").option("splitBytes", "700").load(str(tmp_path / "some")).count() == 2
     rows.where("false").write.format("fasta").mode("append").save(str(tmp_path / "none"))
     assert spark.read.format("fasta").load(str(tmp_path / "none")).count() == 0
+
+
+def _batch(name, rows):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from helixlake.sources.datasources import FORMATS
+
+    return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(StructType.fromDDL(FORMATS[name].ddl)))
+
+
+def test_texts_and_blocks_of_batches(spark):
+    """Batches are written and read at once, and as record by record."""
+    from helixlake.sources import vectors
+    from helixlake.sources.datasources import FORMATS
+
+    sam = [dict(qname=f"r{k}", flag=k, rname="c", pos=k, mapq=k, cigar="4M", rnext="*", pnext=0, tlen=-k, seq="ATGC", qual="!!!!", optionals=[{"tag": "NM", "type": "i", "data": f"{j}:{j}"} for j in range(k % 3)] or ([] if k % 2 else None)) for k in range(9)]
+    fastq = [dict(identifier=f"r{k}", optionals={x: f"{k}=" for x in ("st", "ch", "z")[: k % 4]}, sequence="ACGTN"[: 1 + k % 5], quality="@I+#!"[: 1 + k % 5]) for k in range(9)]
+    for name, rows in (("sam", sam), ("fastq", fastq)):
+        text = "".join(FORMATS[name].text(r, None) for r in rows)
+        for part, start in ((rows, 0), (rows[3:7], 3)):
+            batch = _batch(name, rows).slice(start, len(part))
+            assert bytes(vectors.written(getattr(vectors, f"{name}_text")(batch))).decode() == "".join(FORMATS[name].text(r, None) for r in part)
+        read = {k: v.to_pylist() for k, v in getattr(vectors, name)(text.encode(), 1000).items()}
+        slow = list(FORMATS[name].parse(iter(text.splitlines(keepends=True)), {"parity": False}))
+        assert [{k: dict(v[i]) if k == "optionals" and name == "fastq" else v[i] for k, v in read.items()} for i in range(len(rows))] == slow
+    assert vectors.sam_text(_batch("sam", [sam[1] | {"qname": None}])) is None
+    assert vectors.sam(b"r\t+5\n", 1000) is None and vectors.fastq(b"@r\nAX\n+\nII\n", 1000) is None
+    assert vectors.fastq(b"@r a=1 a=2\nA\n+\nI\n", 1000) is None and vectors.fastq("@ré\nA\n+\nI\n".encode(), 1000) is None
+
+
+def test_a_broken_record_at_the_end_of_a_range_is_an_error(spark, tmp_path):
+    from helixlake.sources import register
+
+    register(spark)
+    good = "".join(f"@r{k}\nACGT\n+\nIIII\n" for k in range(4))
+    (tmp_path / "x.fastq").write_text(good + "@bad\nACGT\n+\nI\n" + good)
+    size = len(good)
+    with pytest.raises(Exception, match="differ in length"):
+        spark.read.format("fastq").option("splitBytes", str(size)).load(str(tmp_path / "x.fastq")).collect()
