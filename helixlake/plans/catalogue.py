@@ -342,8 +342,8 @@ SELECT doc_id, position, forward, coalesce(lead(position) OVER (PARTITION BY doc
 def cut_sites(spark, sf):
     from pyspark.sql import Window as W
 
-    at = lambda site, shift, forward: seqs(spark, sf).select("doc_id", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("dna"), F.lit(1))), lambda i: F.when(F.substring("dna", i, F.lit(6)) == site, i + shift)), lambda x: x.isNotNull())).alias("position")).select("doc_id", F.col("position").cast("long"), F.lit(forward).alias("forward"))
-    sites = at("GGTCTC", 6, True).unionByName(at("GAGACC", -2, False))
+    places = cloning.site_places_column({"GGTCTC": (6, True), "GAGACC": (-2, False)})
+    sites = seqs(spark, sf).select("doc_id", F.explode(places("dna")).alias("s")).select("doc_id", "s.position", "s.forward")
     return sites.withColumn("next", F.coalesce(F.lead("position").over(W.partitionBy("doc_id").orderBy("position", F.desc("forward"))), F.lit(-1)))
 
 
