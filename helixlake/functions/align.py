@@ -203,3 +203,26 @@ def sketch_similarity_column(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sketch_distance(a: list[int], b: list[int]) -> float:
     return 1 - sketch_similarity(a, b)
+
+
+def prefix_sketch_column(k: int, size: int):
+    """f(sequence) -> `seq.sketch` by the first four letters of k-mers, for ASCII; null for other letters."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(sequence: pd.Series) -> pd.Series:
+        out = []
+        for s in sequence:
+            if s is None or not s.isascii():
+                out.append(None)
+                continue
+            letters, n = np.frombuffer(s.encode(), np.uint8).astype(np.int64), max(len(s) - k, 0)
+            values = np.zeros(n, np.int64)
+            for i in range(min(k, 4)):
+                values = values << 8 | letters[i : i + n]
+            if n >= size:
+                out.append(np.sort(np.partition(values, size - 1)[:size] if size else values[:0]))
+            else:
+                out.append(np.concatenate([values, np.zeros(size - n, np.int64)]))
+        return pd.Series(out, dtype=object)
+
+    return run

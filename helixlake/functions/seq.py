@@ -119,6 +119,14 @@ def canonical_kmers(s: Col, k: int) -> Column:
     return F.zip_with(kmers(x, k), F.reverse(kmers(reverse_complement(x), k)), lambda a, b: F.least(a, b))
 
 
+def kmer_counts(s: Col, k: int) -> Column:
+    """Canonical k-mers of a sequence, each once: array of (kmer, n), n being the places that hold it."""
+    from .codec import kmer_counts_column
+
+    x = F.upper(_c(s))
+    return kmer_counts_column(k)(x, reverse_complement(x))
+
+
 def sketch(s: Col, k: int, size: int, hash: str = "prefix4") -> Column:
     """Bottom-`size` sketch of sliding k-mers, the last one left out, duplicates kept.
 
@@ -136,7 +144,13 @@ def sketch(s: Col, k: int, size: int, hash: str = "prefix4") -> Column:
     }[hash]
     values = F.transform(cut, value)
     short = F.concat(values, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(size) - n, F.lit(0))))
-    return F.when(n >= size, F.slice(F.sort_array(values), 1, size)).otherwise(short)
+    whole = F.when(n >= size, F.slice(F.sort_array(values), 1, size)).otherwise(short)
+    if hash != "prefix4":
+        return whole
+    from .align import prefix_sketch_column
+
+    # a sketch of prefixes needs no k-mers; the expressions are for letters beyond ASCII
+    return F.when(F.octet_length(x) == F.length(x), prefix_sketch_column(k, size)(x)).otherwise(whole)
 
 
 # ---- variants, alphabets, translation

@@ -35,12 +35,13 @@ def match_templates(reads: DataFrame, templates: DataFrame, k: int = 16, thresho
     """read_id, identifier, score: share of a template's unique k-mers that a read holds (every place counts), above the
     threshold.
 
-    K-mers of reads and index meet in an equi-join that Spark broadcasts or shuffles by size. Places are counted by
-    (read, k-mer) before it, so that a k-mer which many places share is sent once for each read.
+    K-mers of reads and index meet in an equi-join that Spark broadcasts or shuffles by size. Places are counted
+    in each read before it, so that a k-mer which many places share is sent once for each read, and only those of the index
+    are sent on where the index is small.
     """
     index = unique_kmer_index(templates, k)
     sizes = template_sizes(templates, index)
-    places = reads.select(read_id, F.explode(seq.canonical_kmers("sequence", k)).alias("kmer")).groupBy(read_id, "kmer").agg(F.count("*").alias("n"))
+    places = reads.select(read_id, F.explode(seq.kmer_counts("sequence", k)).alias("w")).select(read_id, "w.kmer", "w.n")
     hits = places.join(index, "kmer").groupBy(read_id, "identifier").agg(F.sum("n").alias("hits"))
     return hits.join(sizes, "identifier").select(read_id, "identifier", (F.col("hits") / F.col("total")).alias("score")).where(F.col("score") > threshold)
 

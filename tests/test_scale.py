@@ -86,3 +86,59 @@ def test_repair_of_many_sequences():
                 both.append(str(e))
         assert both[0] == both[1]
     assert design.repair("AAGGGTAAA", known, checks)[0] == "AAGGGAAAA"
+
+
+def test_sites_of_a_long_text(spark):
+    """One walk over the letters; places were cut out one by one, each counted from the start."""
+    import time
+
+    import pandas as pd
+
+    from helixlake.functions import cloning
+
+    run = cloning.site_places_column({"GGTCTC": (6, True), "AA": (-2, False)}).func
+    assert [tuple(x.values()) for x in run(pd.Series(["AAAGGTCTC"]))[0]] == [(10, True), (-1, False), (0, False)]
+    began = time.time()
+    assert len(run(pd.Series(["ACGTGGTCTC" * 400_000]))[0]) == 400_000
+    assert time.time() - began < 10
+
+
+def test_sites_of_a_long_row(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from helixlake.functions import cloning
+
+    began = time.time()
+    row = spark.range(1).select(F.repeat(F.lit("ACGTGGTCTC"), 200_000).alias("dna"))
+    assert row.select(F.explode(cloning.site_places_column({"GGTCTC": (6, True)})("dna"))).count() == 200_000
+    assert time.time() - began < 30
+
+
+def test_kmers_are_counted_in_their_rows(spark):
+    """Only k-mers of the index are dealt out by read; before, all of them were."""
+    from pyspark.sql import functions as F
+
+    from helixlake.functions import seq
+    from helixlake.operators import matching
+
+    reads = spark.createDataFrame([(k, s) for k, s in enumerate([*_reads(20, 60), "ACGTNNRYACGTTTT", "acg", None])], "read_id int, sequence string")
+    one = reads.select("read_id", F.explode(seq.canonical_kmers("sequence", 5)).alias("kmer")).groupBy("read_id", "kmer").count().collect()
+    other = reads.select("read_id", F.explode(seq.kmer_counts("sequence", 5)).alias("w")).select("read_id", "w.*").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+    templates = reads.where("read_id < 3").select(F.col("read_id").cast("string").alias("identifier"), "sequence")
+    plan = matching.match_templates(reads, templates, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [read_id" in plan and ", kmer" not in plan.split("Aggregate [read_id")[1].split("]")[0]
+
+
+def test_sketches_of_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    from helixlake.functions import seq
+
+    rows = spark.createDataFrame([(s,) for s in [*_reads(3, 80), "ACGTACGTAC", "", "ACGTéACGTACGTACGT", None]], "s string")
+    for r in rows.select("s", seq.sketch("s", 7, 5).alias("v"), F.length("s").alias("n")).collect():
+        words = [] if r.s is None else [int.from_bytes(r.s[i : i + 4].encode(), "big") for i in range(max(len(r.s) - 7, 0))]
+        assert r.v == (None if r.s is None else sorted(words)[:5] if len(words) >= 5 else words + [0] * (5 - len(words)))
+    assert "udf" in str(seq.sketch("s", 7, 5)).lower() or "run(" in str(seq.sketch("s", 7, 5))
