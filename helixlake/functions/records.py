@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,15 @@ def location_text_column():
 def feature_sequence_column():
     """f(sequence, location nodes) -> letters of the feature."""
 
-    @F.pandas_udf("string")
-    def run(sequence: pd.Series, nodes: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or x is None else location_sequence(s, [dict(n) for n in x]) for s, x in zip(sequence, nodes, strict=True)])
+    @F.arrow_udf("string")
+    def run(sequence: pa.Array, nodes: pa.Array) -> pa.Array:
+        flat, out, end = nodes.flatten(), [], 0
+        names = ("node", "parent", "start", "end", "complement")
+        places = [dict(zip(names, x, strict=True)) for x in zip(*(flat.field(n).to_pylist() for n in names), strict=True)]
+        for s, count in zip(sequence.to_pylist(), pc.list_value_length(nodes).to_pylist(), strict=True):
+            start, end = end, end + (count or 0)
+            out.append(None if s is None or count is None else location_sequence(s, places[start:end]))
+        return pa.array(out, pa.string())
 
     return run
 

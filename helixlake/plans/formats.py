@@ -157,7 +157,7 @@ def genbank_files(spark, sf):
         text("", "date"), F.concat(F.lit("order number "), key).alias("definition"), key.alias("accession"), text("1", "version"), text(".", "keywords"), text("made up", "organism"), text("made up", "source"), F.array(F.lit("none")).alias("taxonomy"), text("", "origin"),
         locus.alias("locus"), F.array().cast(reference).alias("references"), F.array().cast("array<struct<base:string,count:bigint>>").alias("base_count"), F.create_map().cast("map<string,string>").alias("other"), text("", "name"), text("", "sequence_hash"), text("", "hash_function"),
     )
-    rows = rand_dna(spark, sf).select(meta.alias("meta"), F.array(feature("CDS", "complement(3..14)", "g"), feature("misc_feature", "join(2..5,9..12)", "h")).alias("features"), F.lower("dna").alias("sequence"))
+    rows = rand_dna(spark, sf, wide=True).select(meta.alias("meta"), F.array(feature("CDS", "complement(3..14)", "g"), feature("misc_feature", "join(2..5,9..12)", "h")).alias("features"), F.lower("dna").alias("sequence"))
     back = through(rows, "genbank").select("*", F.col("meta.locus.name").alias("name"), F.col("meta.definition").alias("definition"), F.col("meta.locus.circular").alias("circular"))
     return records.features(back, "name", "definition", "circular").select("name", "definition", "place", "type", "sequence", F.get(F.col("attributes.gene"), F.lit(0)).alias("gene"), "circular")
 

@@ -17,7 +17,7 @@ import io
 import itertools
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -152,22 +152,6 @@ def _shaped(value: Any, kind: DataType) -> Any:
     return value
 
 
-def _named(values: Iterable, kind: DataType) -> list:
-    """Tuples of structs as dictionaries, for Arrow."""
-    if isinstance(kind, StructType):
-        fields = [(f.name, f.dataType, _nested(f.dataType)) for f in kind.fields]
-        return [None if v is None else {n: _named((x,), t)[0] if deep else x for (n, t, deep), x in zip(fields, v, strict=True)} for v in values]
-    if isinstance(kind, ArrayType) and _nested(kind.elementType):
-        return [None if v is None else _named(v, kind.elementType) for v in values]
-    if isinstance(kind, MapType):
-        return [None if v is None else list(v.items()) for v in values]
-    return list(values)
-
-
-def _nested(kind: DataType) -> bool:
-    return isinstance(kind, (StructType, MapType)) or isinstance(kind, ArrayType) and _nested(kind.elementType)
-
-
 class _Read:
     """What batch and streaming readers share."""
 
@@ -218,13 +202,13 @@ class _Read:
     def _heading(self, line: str) -> bool:
         return not re.match(r"[0-9a-f-]{8,}|[^\t]*\t\d+\t", line)
 
-    def rows(self, part: Part) -> Iterator[tuple]:
+    def rows(self, part: Part, shaped: Callable[[Any, DataType], Any] = _shaped) -> Iterator[tuple]:
         names = [f.name for f in self.schema.fields]
         count = itertools.count()
 
         def row(r: dict) -> tuple:
             r = r | {"source_file": part.path, "ordinal": next(count)}
-            return tuple(_shaped(r.get(f.name), f.dataType) for f in self.schema.fields)
+            return tuple(shaped(r.get(f.name), f.dataType) for f in self.schema.fields)
 
         if self.head:
             with open_file(part.path) as stream:
@@ -253,9 +237,9 @@ class _Read:
         schema = to_arrow_schema(self.schema)
 
         def slow(part: Part) -> Iterator:
-            it = self.rows(part)
+            it = self.rows(part, lambda value, _: value)  # Arrow takes dictionaries as they are
             while rows := list(itertools.islice(it, BATCH)):
-                yield pa.RecordBatch.from_arrays([pa.array(_named(c, f.dataType), t.type) for c, f, t in zip(zip(*rows, strict=True), self.schema.fields, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         if not self.form.vector or self.permissive or self.head or self.options["parity"] or self.options["ordinals"] or part.path.endswith(".gz"):
             yield from slow(part)

@@ -142,3 +142,11 @@ def test_sketches_of_prefixes(spark):
         words = [] if r.s is None else [int.from_bytes(r.s[i : i + 4].encode(), "big") for i in range(max(len(r.s) - 7, 0))]
         assert r.v == (None if r.s is None else sorted(words)[:5] if len(words) >= 5 else words + [0] * (5 - len(words)))
     assert "udf" in str(seq.sketch("s", 7, 5)).lower() or "run(" in str(seq.sketch("s", 7, 5))
+
+
+def test_locations_that_come_again_are_parsed_once(spark):
+    from helixlake.sources import genbank as gb
+
+    assert gb._known_location("join(2..5,9..12)", False) is gb._known_location("join(2..5,9..12)", False)
+    assert gb._known_location("7", True) == gb.parse_location("7", True) != gb._known_location("7", False)
+    assert [gb.wrap(x, 10) for x in ("", "a b", " a", "a ", "a  b")] == [[""], ["a b"], [" a"], ["a"], ["a  b"]]
